@@ -15,13 +15,20 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
 
-_ITEM = "struct<호내용: string, 목: array<struct<목내용: string>>>"
-_PARA = f"struct<항번호: string, 항내용: string, 호: array<{_ITEM}>>"
-_UNIT = f"struct<조문여부: string, 조문번호: string, 조문가지번호: string, 조문제목: string, 조문내용: string, 조문시행일자: string, 조문참고자료: string, 항: array<{_PARA}>>"
+
+
+def _quoted(ddl: str) -> str:
+    """Names outside ASCII in back quotes."""
+    return re.sub(r"([가-힣]\w*)(?=:)", r"`\1`", ddl)
+
+
+_ITEM = _quoted("struct<호내용: string, 목: array<struct<목내용: string>>>")
+_PARA = f"struct<`항번호`: string, `항내용`: string, `호`: array<{_ITEM}>>"
+_UNIT = f"struct<`조문여부`: string, `조문번호`: string, `조문가지번호`: string, `조문제목`: string, `조문내용`: string, `조문시행일자`: string, `조문참고자료`: string, `항`: array<{_PARA}>>"
 #: Units stand under the root or under one element more.
-_STATUTE = f"struct<기본정보: struct<법령ID: string, 시행일자: string>, 조문단위: array<{_UNIT}>, 조문: struct<조문단위: array<{_UNIT}>>>"
+_STATUTE = f"struct<`기본정보`: struct<`법령ID`: string, `시행일자`: string>, `조문단위`: array<{_UNIT}>, `조문`: struct<`조문단위`: array<{_UNIT}>>>"
 _CASE_FIELDS = ("사건번호", "사건명", "선고일자", "참조조문", "판시사항", "판결요지", "판례내용")
-_CASE = f"struct<{', '.join(f'{f}: string' for f in _CASE_FIELDS)}>"
+_CASE = f"struct<{', '.join(f'`{f}`: string' for f in _CASE_FIELDS)}>"
 HEADING_UNIT = "전문"
 IN_FORCE, SCHEDULED = "현행", "시행예정"
 
@@ -31,7 +38,7 @@ def documents(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame:
     paths = [f"{root.rstrip('/')}/{r.path}" for r in manifest.select("path").distinct().collect()]
     if not paths:
         return manifest.limit(0).withColumn("content", F.lit(""))
-    files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("_at"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("_at"), F.decode("content", "UTF-8").alias("content"))
     end = F.concat(F.lit(f"{root.rstrip('/')}/"), F.col("path"))
     local = F.regexp_replace("_at", r"^[a-z]+:/*(?=/)", "")
     return files.withColumn("_local", local).join(manifest.withColumn("_local", F.regexp_replace(end, r"^[a-z]+:/*(?=/)", "")), "_local").drop("_local", "_at")
@@ -51,7 +58,7 @@ def articles(docs: DataFrame, content: str = "content", name: str = "name") -> D
         F.flatten(
             F.transform(
                 F.coalesce(h["호"], F.array().cast(f"array<{_ITEM}>")),
-                lambda x: F.concat(F.array(X.strip(x["호내용"])), F.transform(F.coalesce(x["목"], F.array().cast("array<struct<목내용: string>>")), lambda m: F.concat(F.lit("  "), X.strip(m["목내용"])))),
+                lambda x: F.concat(F.array(X.strip(x["호내용"])), F.transform(F.coalesce(x["목"], F.array().cast("array<struct<`목내용`: string>>")), lambda m: F.concat(F.lit("  "), X.strip(m["목내용"])))),
             )
         ),
         lambda i: X.strip(i) != "",
