@@ -14,6 +14,7 @@ columns are kept, and one named like a result is replaced.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -27,7 +28,9 @@ from lexspark.llm.common import hashed_share, with_struct
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+|$)")
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = range(4, 9)
-CACHE = 200_000
+CACHE = 100_000
+#: Buckets in which features are counted first.
+BUCKETS = 1 << 22
 FIELDS = ["score", "predicted", "offending"]
 
 
@@ -88,10 +91,10 @@ def noisy_or(model: ToxicityModel, text: str | None) -> tuple[float, list[tuple[
             rest += np.log1p(-min(p, 1 - 1e-12))
             if p >= model.sentence_threshold:
                 hit.append((a, b, float(p)))
-    return float(-np.expm1(rest)), hit
+    return float(-np.expm1(rest)) + 0.0, hit
 
 
-def collect_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", max_docs: int = 6000) -> list[tuple[str, int]]:
+def collect_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", max_docs: int = 5000) -> list[tuple[str, int]]:
     """A bounded sample of labelled texts: about `max_docs`, chosen by a hash of the id; equal texts count once."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("_y"))
     n = known.count()
@@ -100,39 +103,65 @@ def collect_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", key
     return sorted(dict(sorted((r[0], int(r[1])) for r in rows)).items())
 
 
-def fit(sample: list[tuple[str, int]], max_features: int = 2000, steps: int = 500, l2: float = 5e-5, rate: float = 0.1, least: float = 12.0) -> ToxicityModel:
-    """Gradient ascent on the noisy-or likelihood. Features: the `max_features` that tell toxic documents best by chi-square, at least `least`; weights stay positive, so a sentence without any is never offending."""
+def _gain(a: np.ndarray, c: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Chi-square of a feature in a of n1 toxic and c of n0 other documents; 0 where it doesn't speak for toxicity or is too rare to tell."""
+    lead = a / n1 - c / n0
+    all_ = a + c
+    value = lead * lead * n1 * n0 * (n1 + n0) / np.maximum(1, all_ * np.maximum(1, n1 + n0 - all_))
+    return np.where((a < 5) | (lead <= 0), 0.0, value)
+
+
+def _bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode()) & BUCKETS - 1
+
+
+def fit(sample: list[tuple[str, int]], max_features: int = 2000, steps: int = 1000, l2: float = 1e-5, rate: float = 0.1, least: float = 12.0) -> ToxicityModel:
+    """Gradient ascent on the noisy-or likelihood. Features: the `max_features` that tell toxic documents best by chi-square, at least `least`; weights stay positive, so a sentence without any is never offending.
+
+    Documents are first counted by feature bucket, so memory holds two arrays and not every word beginning; only features of promising buckets are counted by name.
+    """
     y = np.array([b for _, b in sample], float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel()
-    bags = [[Counter(f for w in WORD.findall(t[a:b]) for f in features(w)) for a, b in spans(t)] for t in (t.lower() for t, _ in sample)]
-    pos, neg = Counter(), Counter()
-    for bag, label in zip(bags, y, strict=True):
-        (pos if label else neg).update(set().union(*bag) if bag else ())
     n1, n0 = y.sum(), (1 - y).sum()
-
-    def gain(f: str) -> float:
-        a, c = pos[f], neg[f]
-        lead = a / n1 - c / n0
-        return 0.0 if a < 5 or lead <= 0 else lead * lead * n1 * n0 * (n1 + n0) / ((a + c) * max(1, n1 + n0 - a - c))
-
-    scored = sorted(((g, f) for f in pos if (g := gain(f)) > least), key=lambda x: (-x[0], len(x[1]), x[1]))
-    index = {f: i for i, (_, f) in enumerate(scored[:max_features])}
+    counts = np.zeros((2, BUCKETS), np.int32)
+    for text, label in sample:
+        found = {f for w in set(WORD.findall(text.lower())) for f in features(w)}
+        if found:
+            counts[int(label)][np.unique(np.fromiter(map(_bucket, found), np.int64, len(found)))] += 1
+    gains = _gain(counts[1].astype(float), counts[0].astype(float), n1, n0)
+    hopeful = set(np.flatnonzero(gains > least).tolist())
+    held: list[tuple[int, Counter]] = []
+    plain = np.zeros(len(y))  # sentences without any feature: only the bias
+    pos, neg = Counter(), Counter()
+    for d, (text, label) in enumerate(sample):
+        low, own = text.lower(), set()
+        for a, b in spans(low):
+            got = Counter(f for w in WORD.findall(low[a:b]) for f in features(w) if _bucket(f) in hopeful)
+            if got:
+                held.append((d, got))
+                own.update(got)
+            else:
+                plain[d] += 1
+        (pos if label else neg).update(own)
+    names = sorted(pos)
+    exact = _gain(np.array([pos[f] for f in names], float), np.array([neg[f] for f in names], float), n1, n0)
+    chosen = sorted((k for k in range(len(names)) if exact[k] > least), key=lambda k: (-exact[k], len(names[k]), names[k]))[:max_features]
+    index = {names[k]: i for i, k in enumerate(chosen)}
     if not index:
         return ToxicityModel()
     doc_of, row_of, col_of, value = [], [], [], []
-    plain = np.zeros(len(y))  # sentences without any feature: only the bias
-    for d, bag in enumerate(bags):
-        for words in bag:
-            got = [(index[f], k) for f, k in words.items() if f in index]
-            if not got:
-                plain[d] += 1
-                continue
-            for i, k in got:
-                row_of.append(len(doc_of))
-                col_of.append(i)
-                value.append(min(k, 3))
-            doc_of.append(d)
+    for d, words in held:
+        own = [(index[f], k) for f, k in words.items() if f in index]
+        if not own:
+            plain[d] += 1
+            continue
+        for i, k in own:
+            row_of.append(len(doc_of))
+            col_of.append(i)
+            value.append(min(k, 3))
+        doc_of.append(d)
+    del held
     doc, row, col, val = np.array(doc_of), np.array(row_of), np.array(col_of), np.array(value, float)
     w, b = np.zeros(len(index)), -4.0
     m, v = np.zeros(len(index) + 1), np.zeros(len(index) + 1)
