@@ -94,7 +94,8 @@ class QualityModel:
     #: Intercept and slopes over the two calibrated log-odds.
     calibration: list = field(default_factory=list)
     stack: np.ndarray | None = None
-    threshold: float = 0.5
+    #: Score from which a document is accepted: it goes only where bad is three times likelier than good.
+    threshold: float = 0.25
     rounds: list = field(default_factory=list)
 
     def scores(self, t: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
