@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
-from lexspark.operators import graph as G
 from lexspark.operators import sampling
 from lexspark.queries.registry import load, query
 from lexspark.sources import cache
@@ -104,7 +103,7 @@ def capped_smallest_first(spark, sf_dir):
     """The smallest group first, its newest first, what is held left out, up to the cap (the operator's own)."""
     d = load(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     n = d.groupBy("source").agg(F.count("*").alias("n"))
-    fresh = d.join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").join(F.broadcast(n), "source")
+    fresh = d.join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").join(n, "source")
     return fresh.orderBy("n", "source", F.desc("n_chars"), "doc_id").limit(100).select("doc_id", "source")
 
 
@@ -213,5 +212,3 @@ def normalized_key_join(spark, sf_dir):
     n = load(spark, sf_dir, "nation").join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.upper(X.squeezed("r_name")).alias("name"))
     return n.join(F.broadcast(spaced), "name").select("n_nationkey", "r_regionkey")
 
-
-assert G.STATUS_ORDER

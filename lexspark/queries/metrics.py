@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexspark.operators import metrics as M
+from lexspark.functions import text as X
 from lexspark.operators import stats as S
 from lexspark.queries.registry import load, query
 
@@ -88,10 +89,8 @@ def upper_median(spark, sf_dir):
     """The value at floor(n / 2) of the sorted values, by rank and count rather than one array a group."""
     prices = load(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_extendedprice").agg(F.count("*").alias("c"))
     total = prices.groupBy("l_returnflag").agg(F.floor(F.sum("c") / 2).alias("at"))
-    from pyspark.sql import Window
-
     upto = F.sum("c").over(Window.partitionBy("l_returnflag").orderBy("l_extendedprice"))
-    return prices.withColumn("upto", upto).join(F.broadcast(total), "l_returnflag").where(F.col("upto") > F.col("at")).groupBy("l_returnflag").agg(F.min("l_extendedprice").alias("price_p50"))
+    return prices.withColumn("upto", upto).join(total, "l_returnflag").where(F.col("upto") > F.col("at")).groupBy("l_returnflag").agg(F.min("l_extendedprice").alias("price_p50"))
 
 
 @query("select conv_id, round(avg((length(text) > 200)::int), 6) coverage, bool_and(length(text) > 200) all_points from conversations group by 1")
@@ -111,8 +110,6 @@ def unsupported_rate(spark, sf_dir):
 def align_sequence(spark, sf_dir):
     """indices 1..n, missing ones false."""
     c = load(spark, sf_dir, "conversations").where("turn < 6").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("turn") + 1).cast("int").alias("k"), (F.length("text") > 200).alias("v")))).alias("m"))
-    from lexspark.functions import text as X
-
     return c.select("conv_id", F.array_join(F.transform(X.aligned(F.col("m"), F.lit(6)), lambda x: x.cast("string")), ",").alias("aligned"))
 
 
@@ -188,8 +185,6 @@ def _pairs(spark, sf_dir):
 @query(f"with {PAIRS} select id, round(a, 6) a, round(b, 6) b, round(delta, 6) delta, row_number() over (order by round(delta, 9) desc, id)::int place from p where abs(delta) > 1e-9")
 def paired_delta(spark, sf_dir):
     """J18, T11, R14."""
-    from pyspark.sql import Window
-
     p = _pairs(spark, sf_dir).where(F.abs("delta") > 1e-9)
     w = Window.orderBy(F.desc(F.round("delta", 9)), F.asc("id"))  # items of one evaluation, not a corpus
     return p.select("id", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round("delta", 6).alias("delta"), F.row_number().over(w).alias("place"))
@@ -319,5 +314,3 @@ def usage_cost(spark, sf_dir):
     n = F.length("text")
     return load(spark, sf_dir, "conversations").groupBy("role").agg(F.sum(n).alias("chars"), F.round(F.sum(n * price) / 1e6, 6).alias("cost"))
 
-
-assert M.MEANS

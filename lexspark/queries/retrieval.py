@@ -235,4 +235,4 @@ def set_precision_recall(spark, sf_dir):
     b = load(spark, sf_dir, "benchmark").select("item_id", words("text").alias("g"))
     d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), words("text").alias("c"))
     both = F.size(F.array_intersect("g", "c"))
-    return d.join(F.broadcast(b), "item_id").select("item_id", F.round(both / F.nullif(F.size("c"), F.lit(0)), 6).alias("precision"), F.round(both / F.nullif(F.size("g"), F.lit(0)), 6).alias("recall"))
+    return d.join(b, "item_id").select("item_id", F.round(both / F.nullif(F.size("c"), F.lit(0)), 6).alias("precision"), F.round(both / F.nullif(F.size("g"), F.lit(0)), 6).alias("recall"))
