@@ -71,21 +71,25 @@ def overlap_reranker() -> Callable:
     return lambda pairs: [len(grams(q) & grams(t)) for q, t in pairs]
 
 
-def called(jobs: DataFrame, factory: Callable, key: list[str], prompt: str = "prompt", kind: str = "string") -> DataFrame:
-    """Rows (key, response, error) of an external call for each job; an exception becomes the row's error, not the job's end."""
+def called(jobs: DataFrame, factory: Callable, key: list[str], prompt: str = "prompt", kind: str = "string", tries: int = 1, most_errors: int | None = None) -> DataFrame:
+    """Rows (key, response, error) of an external call for each job; an exception becomes the row's error, not the job's end. A call is tried `tries` times; after `most_errors` failed rows a task makes no further calls, so a service that is down isn't asked on."""
     kinds = dict(jobs.dtypes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = _made(factory)
+        call, failed = _made(factory), 0
         for f in frames:
             answers, errors = [], []
             for p in f[prompt]:
-                try:
-                    answers.append(call(p))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001  any failure of a service is a row's failure
-                    answers.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
+                answer, error = None, "not called: too many failures before"
+                for _ in range(tries if most_errors is None or failed < most_errors else 0):
+                    try:
+                        answer, error = call(p), None
+                        break
+                    except Exception as e:  # noqa: BLE001  any failure of a service is a row's failure
+                        error = f"{type(e).__name__}: {e}"
+                failed += error is not None
+                answers.append(answer)
+                errors.append(error)
             yield f[key].assign(response=answers, error=errors)
 
     return jobs.select(*key, prompt).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + f", response {kind}, error string")

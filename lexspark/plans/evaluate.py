@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.operators import metrics, stats
@@ -43,3 +43,9 @@ def official(scores_rows: DataFrame, verdicts: DataFrame, judges: list[str]) ->
     """Scores with m0 replaced by the judges' consensus where there are verdicts (id, judge, met), and the rule's value where the item was refused."""
     agreed = stats.consensus(verdicts, ["id"], judges).select("id", "correct")
     return scores_rows.join(agreed, "id", "left").withColumn("m0_official", F.coalesce("correct", F.col("m0_correct") & (F.col("status") != "answered"), F.lit(False))).drop("correct")
+
+
+def judge_prompt(question: Column, articles: Column, limit: int = 1500) -> Column:
+    """What a judge of training pairs is shown: the question and each article's first `limit` characters."""
+    cut = F.transform(articles, lambda t: F.left(t, F.lit(limit)))
+    return F.concat(F.lit("[질문]\n"), question, F.lit("\n\n[조문]\n"), F.array_join(cut, "\n\n"))

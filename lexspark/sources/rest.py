@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlencode
 from urllib.request import urlopen
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -103,3 +104,30 @@ def register(spark: SparkSession, transport: Callable[[dict], Callable] | None =
             return SearchReader(schema, self.options, made)
 
     spark.dataSource.register(RestSearch)
+
+
+# --- what is done with search results -----------------------------------------------
+
+
+def versions(rows: DataFrame, name: str, in_force: str = "현행", kept: tuple[str, ...] = ("현행", "시행예정")) -> DataFrame:
+    """Versions of one statute by its exact name (name, mst, status, effective, pos): in force or to come, each (mst, effective) once (the first by pos), in order of effect. It is an error if none is in force."""
+    own = rows.where((F.col("name") == name) & F.col("status").isin(*kept))
+    first = Window.partitionBy("mst", "effective").orderBy("pos")
+    own = own.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    checked = own.agg(F.assert_true(F.count_if(F.col("status") == in_force) > 0, F.lit(f"no version of {name} is in force")).alias("_ok"))
+    return own.join(checked, F.lit(True)).where("_ok is null").drop("_ok").orderBy("effective", "mst")
+
+
+def newest(rows: DataFrame, court: str, since: str, n: int | None = None) -> DataFrame:
+    """Cases (id, court, decided) of one court from a date on, newest first."""
+    day = F.replace("decided", F.lit("."), F.lit(""))
+    out = rows.where((F.col("court") == court) & (day >= since)).orderBy(day.desc(), "id")
+    return out if n is None else out.limit(n)
+
+
+def bulk_order(rows: DataFrame, held: DataFrame, cap: int, group: str = "query", key: str = "id", newest_by: str = "decided") -> DataFrame:
+    """What a capped bulk load takes: groups with fewest results first, in a group the newest first, a key once, nothing that is held, at most `cap` rows with what is held."""
+    sized = rows.join(rows.groupBy(group).agg(F.count("*").alias("_size")), group)
+    once = sized.groupBy(key).agg(F.min(F.struct("_size", group)).alias("_g"), F.max(newest_by).alias(newest_by)).select(key, "_g.*", newest_by)
+    fresh = once.join(held.select(key), key, "left_anti")
+    return fresh.orderBy("_size", group, F.desc(newest_by), key).limit(max(0, cap - held.count())).drop("_size")

@@ -247,6 +247,30 @@ def test_rest(spark):
         rest.fetched(lambda e, p: (200, rest.REJECTED.encode()), "x", {})
 
 
+def test_search_results(spark):
+    rows = spark.createDataFrame([("법", "m1", "현행", "2020", 0), ("법", "m1", "현행", "2020", 1), ("법", "m2", "시행예정", "2019", 2), ("법 시행령", "m3", "현행", "2020", 3), ("법", "m4", "폐지", "2018", 4)], "name string, mst string, status string, effective string, pos int")
+    assert [r.mst for r in rest.versions(rows, "법").collect()] == ["m2", "m1"]
+    with pytest.raises(Exception, match="in force"):
+        rest.versions(rows.where("mst = 'm2'"), "법").collect()
+    cases = spark.createDataFrame([("a", "대법원", "2021.01.02"), ("b", "대법원", "2022.01.02"), ("c", "고등법원", "2023.01.02"), ("d", "대법원", "2019.01.02")], "id string, court string, decided string")
+    assert [r.id for r in rest.newest(cases, "대법원", "20200101").collect()] == ["b", "a"]
+    found = spark.createDataFrame([("big", "x", "3"), ("big", "y", "2"), ("big", "z", "1"), ("small", "q", "0"), ("small", "x", "3")], "query string, id string, decided string")
+    held = spark.createDataFrame([("y",)], "id string")
+    assert [r.id for r in rest.bulk_order(found, held, 4).collect()] == ["x", "q", "z"]
+
+
+def test_failing_service(spark):
+    def factory():
+        def call(p):
+            raise OSError("down")
+
+        return call
+
+    jobs = spark.createDataFrame([(i, "p") for i in range(5)], "id bigint, prompt string").coalesce(1)
+    got = [r.error for r in external.called(jobs, factory, ["id"], most_errors=2).collect()]
+    assert got.count("OSError: down") == 2 and sum(e.startswith("not called") for e in got) == 3
+
+
 def test_reports(spark):
     assert list(reports.events(iter("ab"), {"status": "x"}, refused=True)) == ['event: final\ndata: {"status": "x"}\n\n']
     assert len(list(reports.events(iter("ab"), {}))) == 3
