@@ -10,7 +10,9 @@ A band's bucket that holds many documents is not expanded into pairs. Its member
 compared with a pivot, the one with the most company over all bands, and it is split by
 further bands: small parts are expanded in full, as small buckets are, and large ones are
 compared with that pivot and a random one. Classes are connected components, so members
-that a pivot has joined need no pairs among themselves.
+that are verified to be of one class need no pairs among themselves. Where a large bucket
+still holds several classes, all pairs of its texts over classes are found exactly, by the
+rarest shingles of each text (`rare_pairs`).
 
 Defined results: equal texts (also empty ones) always share a class; a null text is a
 class of its own; a text without words has no shingles and equals only its copies; a text
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.llm.common import U64, mix, pinned, shingle_hashes, written
@@ -171,8 +173,8 @@ def _stars(rows: DataFrame, n_random: int) -> DataFrame:
     return star.select(F.least("tid", "pivot").alias("a"), F.greatest("tid", "pivot").alias("b"))
 
 
-def candidates(signed: DataFrame, p: NearDup) -> DataFrame:
-    """Distinct pairs (a < b) of text ids that share a band. Large buckets give pairs with their pivot, and are split by further bands: small parts give all their pairs, large ones pairs with two pivots."""
+def candidates(signed: DataFrame, p: NearDup) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a < b) of text ids that share a band, and the members (bucket, tid) of large buckets. Those give pairs with their pivot, and are split by further bands: small parts give all their pairs, large ones pairs with two pivots."""
     rows = signed.select("tid", F.posexplode("bands").alias("band", "bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     kept = pinned(rows.join(sizes, "bucket").select("bucket", "tid", "n"))
@@ -186,7 +188,49 @@ def candidates(signed: DataFrame, p: NearDup) -> DataFrame:
     parts = fine.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     split = pinned(fine.join(parts, "bucket").select("bucket", "tid", "company", "n"))
     small = kept.where(F.col("n") <= p.small).select("bucket", "tid").unionByName(split.where(F.col("n") <= p.small).select("bucket", "tid"))
-    return _pairs(small).unionByName(_stars(large, 0)).unionByName(_stars(split.where(F.col("n") > p.small), 1)).distinct()
+    return _pairs(small).unionByName(_stars(large, 0)).unionByName(_stars(split.where(F.col("n") > p.small), 1)).distinct(), large
+
+
+def unsettled(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(tid, class) of the members of large buckets that hold more than one class."""
+    own = large.select("bucket", "tid").join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left").select("bucket", "tid", F.coalesce("root", "tid").alias("class"))
+    mixed = own.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
+    return own.join(mixed, "bucket", "left_semi").select("tid", "class").distinct()
+
+
+def _shingles(width: int):
+    @F.arrow_udf("array<struct<h: bigint, n: bigint>>")
+    def run(col: pa.Array) -> pa.Array:
+        bags = [bag(x.as_py(), width) for x in col]
+        at = np.concatenate([[0], np.cumsum([len(h) for h, _ in bags])]).astype(np.int32)
+        h = np.concatenate([h for h, _ in bags]).view(np.int64) if bags else np.empty(0, np.int64)
+        n = np.concatenate([n for _, n in bags]).astype(np.int64) if bags else np.empty(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(h), pa.array(n)], ["h", "n"]))
+
+    return run
+
+
+def rare_pairs(texts: DataFrame, p: NearDup) -> DataFrame:
+    """Pairs (a < b) over classes of texts (tid, class, t), among them every one whose similarity reaches the threshold.
+
+    Let P and Q be the shares of two texts' weight that lies on common shingles. Their probability Jaccard is at most PQ / (P + Q - PQ), as each term is at most 1 / (1 / a_x + (1 - Q) / b_x), which is concave. So at a similarity of s the greater of P and Q is at least 2s / (1 + s), and the other at least s. With the shingles in one order for all texts, the first common one has at most (1 - s) / (1 + s) of the weight of the one text before it, and at most 1 - s of the other's. Rare shingles are first, so few texts meet; a shingle of one text alone meets none.
+    """
+    bags = texts.select("tid", "class", F.explode(_shingles(p.width)("t")).alias("x")).select("tid", "class", "x.h", "x.n")
+    bags = written(bags)
+    often = bags.groupBy("h").agg(F.count("*").alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("c > 1")
+    whole = bags.groupBy("tid").agg(F.sum("n").alias("whole"))
+    own = Window.partitionBy("tid")
+    before = F.coalesce(F.sum("n").over(own.orderBy("c", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = bags.join(often, "h").join(whole, "tid").withColumn("before", F.col("whole") - F.sum("n").over(own) + before)
+    share = lambda x: F.col("before") <= F.col("whole") * (x + 1e-9)
+    s = p.similarity
+    # a shingle of one class alone counts in the order, but joins nothing
+    first = written(met.where(share(1 - s) & (F.col("lo") != F.col("hi"))).select("h", "tid", "class", share((1 - s) / (1 + s)).alias("rarest")))
+    # rows of a shingle's largest class aren't joined with each other: a pair over classes has one side outside it
+    usual = first.groupBy("h", "class").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "class"))["class"].alias("usual"))
+    l = first.join(usual, "h").where("class <> usual").select("h", F.col("tid").alias("x"), F.col("class").alias("cx"), F.col("rarest").alias("rx"))
+    r = first.select("h", F.col("tid").alias("y"), F.col("class").alias("cy"), F.col("rarest").alias("ry"))
+    return l.join(r, "h").where("cx <> cy and (rx or ry)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -229,6 +273,21 @@ def verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame, p: NearDup)
     return pinned(near.join(text_a, "a").join(text_b, "b").where(_verify(p.width)("t_a", "t_b") >= p.similarity).select("a", "b"))
 
 
+def across(roots: DataFrame, left: DataFrame, signed: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
+    """The roots (node, root) after the classes of the texts `left` (tid, class) are joined by all similar pairs over them."""
+    left = pinned(left)
+    n = left.limit(FEW + 1).count()
+    if not n:
+        return roots
+    own = written(texts.join(F.broadcast(left) if n <= FEW else left, "tid").groupBy("tid", "class").agg(F.first("t").alias("t")))
+    links = verified(rare_pairs(own, p), signed, own.select("tid", "t"), p)
+    of = own.select("tid", "class")
+    edges = links.join(of.select(F.col("tid").alias("a"), F.col("class").alias("s")), "a").join(of.select(F.col("tid").alias("b"), F.col("class").alias("d")), "b")
+    later = components(edges.select(F.least("s", "d").alias("a"), F.greatest("s", "d").alias("b")).distinct()).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    every = roots.unionByName(left.select(F.col("tid").alias("node"), F.col("class").alias("root"))).distinct()
+    return every.join(later, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", p: NearDup = NearDup()) -> DataFrame:
     """A row for each document: key, class_id, class_size, tid (its text's digest), root (the digest that all texts of the class share; null for a null text)."""
     tid = F.unhex(F.md5(F.col(text)))
@@ -237,8 +296,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", p: NearDup
     signed = members.where(F.col("sig").isNotNull()).groupBy("tid").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     signed = written(signed)
     texts = docs.where(F.col(text).isNotNull()).select(tid.alias("tid"), F.col(text).alias("t"))
-    links = verified(candidates(signed, p), signed, texts, p)
-    roots = components(links).select(F.col("node").alias("tid"), "root")
+    pairs, large = candidates(signed, p)
+    roots = components(verified(pairs, signed, texts, p))
+    roots = across(roots, unsettled(large, roots), signed, texts, p).select(F.col("node").alias("tid"), "root")
     joined = members.select("key", "tid").join(roots, "tid", "left").select("key", "tid", F.coalesce("root", "tid").alias("root"))
     least = joined.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size"))
     out = joined.join(least, "root", "left")

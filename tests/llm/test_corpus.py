@@ -128,6 +128,43 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert sorted(map(str, (r.doc_id for r in neardup.keep_one(docs).collect()))) == ["1", "2", "None", "None"]
 
 
+def family(n, pairs):
+    """Texts round one template with a mutual similarity of about 0.76, each with words of its own, and near copies (0.82) of the last `pairs` of them."""
+    core = prose(350, "template")
+    docs = [core + " " + prose(50, f"own{i}") for i in range(n)]
+
+    def near(t, i):
+        w = t.split()
+        for j in range(8):
+            w[40 * j + 10 + i % 20] = f"neu{i}x{j}"
+        return " ".join(w)
+
+    return docs + [near(docs[n - pairs + i], i) for i in range(pairs)]
+
+
+def test_near_duplicates_in_a_family_under_the_threshold(spark):
+    n, pairs = 1000, 60
+    docs = family(n, pairs)
+    bags = [neardup.bag(t, 5) for t in docs]
+    assert all(0.7 < neardup.similarity(bags[0], b) < 0.79 for b in bags[1:n]) and max(neardup.similarity(bags[0], b) for b in bags[n:]) < 0.8
+    assert all(0.8 <= neardup.similarity(bags[n - pairs + i], bags[n + i]) < 0.83 for i in range(pairs))
+    rows = neardup.classes(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {i: i if i < n else i - pairs for i in range(n + pairs)}
+
+
+def test_rare_pairs_lose_none(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(8)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(150)]
+    texts += [t + " " + rng.choice(words) for t in texts[:60]] + [t + " " + t for t in texts[:60]]
+    p = neardup.NearDup(width=2)
+    rows = spark.createDataFrame([(bytes([i // 256, i % 256]), bytes([i // 256, i % 256]), t) for i, t in enumerate(texts)], "tid binary, class binary, t string")
+    got = {(int.from_bytes(r.a), int.from_bytes(r.b)) for r in neardup.rare_pairs(rows, p).collect()}
+    bags = [neardup.bag(t, 2) for t in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if neardup.similarity(bags[i], bags[j]) >= p.similarity}
+    assert len(want) > 50 and want <= got < {(i, j) for j in range(len(texts)) for i in range(j)}
+
+
 # --- fingerprints -------------------------------------------------------------------
 
 
