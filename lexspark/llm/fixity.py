@@ -5,7 +5,8 @@ its SHA-256. `FANOUT` consecutive leaves make a node, `FANOUT` nodes the next on
 root for each shard; the shards' roots make one more tree in order of shard. Two replicas
 are compared from the top; only the children of nodes that differ are looked at, so an
 audit of equal replicas reads two roots. Levels are small tables, and each step is a join
-on the node's key.
+on the node's key. `audited` gives a replica's records the places of the reference's
+records with their ids (`placed`), so a record lost or added shifts no other.
 
 Defined results: a null payload is an empty record; a record lost from a replica is
 `missing`, one that only the replica has `extra`, one with other bytes `corrupt`, one with
@@ -146,9 +147,27 @@ def audit(a: DataFrame, b: DataFrame, most: int, shards: int) -> tuple[DataFrame
     return met.select("shard", "ordinal", status.alias("status")), compared
 
 
-def audited(a: DataFrame, b: DataFrame, shards: int) -> DataFrame:
-    """Replica a's manifest with the status of each record (`ok` where the replicas agree)."""
-    a, b = written(a), written(b)
+def placed(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Manifest b with each record at the ordinal and offset of manifest a's record with its id; those that only b has follow their shard's last. Of records that share an id, those with equal digests go together first."""
+    both = a.select(F.lit("a").alias("replica"), key, "shard", "ordinal", "offset", "length", "digest").unionByName(b.select(F.lit("b").alias("replica"), key, "shard", "ordinal", "offset", "length", "digest"))
+    row = lambda *by, order: F.row_number().over(Window.partitionBy("shard", *by).orderBy(*order))
+    both = both.withColumn("_copy", row("replica", key, "digest", order=["ordinal"]))
+    both = both.withColumn("_same", F.count("*").over(Window.partitionBy("shard", key, "digest", "_copy")) == 2)
+    both = both.withColumn("_nth", row("replica", key, "_same", order=["digest", "ordinal"]))
+    place = Window.partitionBy("shard", key, "_same", "_nth")
+    of_a = lambda c: F.max(F.when(F.col("replica") == "a", F.col(c))).over(place)
+    both = both.select("*", of_a("ordinal").alias("_ordinal"), of_a("offset").alias("_offset"), F.count(F.when(F.col("replica") == "a", 1)).over(Window.partitionBy("shard")).alias("_n"))
+    new = F.col("_n") + row("replica", F.col("_ordinal").isNull(), order=["ordinal"]) - 1
+    both = both.select(key, "shard", F.coalesce("_ordinal", new).cast("bigint").alias("ordinal"), F.coalesce("_offset", "offset").alias("offset"), "length", "digest", "replica")
+    return both.where("replica = 'b'").drop("replica")
+
+
+def audited(a: DataFrame, b: DataFrame, shards: int, key: str) -> DataFrame:
+    """Replica a's manifest with the status of each record (`ok` where the replicas agree), and b's `extra` records; both manifests have the column `key`, the record's id."""
+    a = written(a)
+    b = written(placed(a, b, key))
     most = max((m.agg(F.max("ordinal")).first()[0] or 0) + 1 for m in (a, b))
     found, _ = audit(a, b, most, shards)
-    return a.join(found.where("status <> 'extra'"), ["shard", "ordinal"], "left").withColumn("status", F.coalesce("status", F.lit("ok")))
+    found = pinned(found)
+    own = a.join(found.where("status <> 'extra'"), ["shard", "ordinal"], "left").withColumn("status", F.coalesce("status", F.lit("ok")))
+    return own.unionByName(b.join(found.where("status = 'extra'"), ["shard", "ordinal"]), allowMissingColumns=True)

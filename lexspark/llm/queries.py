@@ -47,15 +47,15 @@ def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as WARC records, against a replica in which some payloads have one byte changed and some records are lost from the ends of their shards' listing; the audit must find just these."""
+    """The pages as WARC records, against a replica in which some payloads have one byte changed; the audit must find just these."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     shards = fixity.shard_count(pages)
     a = fixity.manifest(pages, "page_id", "url", "html", shards, ["page_id", "url"])
     body = F.coalesce("html", F.lit(""))
     fault = F.pmod(F.crc32(F.col("page_id").cast("string").cast("binary")), F.lit(97)) == 5
     flipped = F.overlay(body, F.when(F.substring(body, 1, 1) == "#", "~").otherwise("#"), F.lit(1), F.lit(1))
-    b = fixity.manifest(pages.withColumn("html", F.when(fault & (F.length(body) > 0), flipped).otherwise(body)), "page_id", "url", "html", shards)
-    return fixity.audited(a, b, shards).select("page_id", "url", "shard", "ordinal", "offset", "length", F.col("digest").alias("sha256"), "status")
+    b = fixity.manifest(pages.withColumn("html", F.when(fault & (F.length(body) > 0), flipped).otherwise(body)), "page_id", "url", "html", shards, ["page_id"])
+    return fixity.audited(a, b, shards, "page_id").select("page_id", "url", "shard", "ordinal", "offset", "length", F.col("digest").alias("sha256"), "status")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

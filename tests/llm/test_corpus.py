@@ -271,6 +271,17 @@ def test_audit_descends_only_where_it_must(spark):
     assert fixity.audit(empty, empty, 1, 1)[0].count() == 0 and fixity.audit(one, empty, 1, 1)[0].first().status == "missing"
 
 
+def test_audit_of_records_lost_and_added_within_shards(spark):
+    rows = [(i, f"http://{i}/", f"<p>{i}</p>") for i in range(200)] + [(None, "x", "n"), (50, "http://50/", "again"), (50, "http://50/", "again"), (70, "http://70/", "twin")]
+    changed = [(i, u, "#" + h if i in (30, 31) else h) for i, u, h in rows if i not in (3, 20, 110) and h not in ("<p>70</p>", "n")] + [(1000 + i, "new", "new") for i in range(5)] + [(-1, "first", "first")]
+    made = [fixity.manifest(spark.createDataFrame(r, "id bigint, url string, html string"), "id", "url", "html", 3, ["id"]) for r in (rows, changed)]
+    found = fixity.audited(*made, 3, "id").collect()
+    assert sum(r.status == "ok" for r in found) == len(rows) - 7 and len(found) == len(rows) + 6
+    want = [(i, "missing") for i in (None, 3, 20, 70, 110)] + [(i, "corrupt") for i in (30, 31)] + [(i, "extra") for i in (-1, 1000, 1001, 1002, 1003, 1004)]
+    assert sorted((r.id, r.status) for r in found if r.status != "ok" and r.id is not None) == sorted(x for x in want if x[0] is not None)
+    assert [r.status for r in found if r.id is None] == ["missing"]
+
+
 @needs_tables
 def test_fixity_query(spark):
     import zlib
