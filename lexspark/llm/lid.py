@@ -43,8 +43,11 @@ class LanguageModel:
     reject_below: float = 0.004
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 400, snippet: int = 1500, dictionary_bytes: int = 100_000) -> LanguageModel:
-    """Dictionaries from a bounded sample: about `docs_per_lang` documents a language, `snippet` characters from the middle of each, `dictionary_bytes` in all."""
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 400, snippet: int = 1500, dictionary_bytes: int = 100_000, thin: float = 0.2) -> LanguageModel:
+    """Dictionaries from a bounded sample: about `docs_per_lang` documents a language, `snippet` characters from the middle of each, `dictionary_bytes` in all.
+
+    Dictionaries have one common size, so that none wins by its size. Languages with less than the share `thin` of the best filled one's bytes have no say in it and keep all they have.
+    """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
     if not counts:
@@ -57,7 +60,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         found[r.lang][r.s.lower()] = None
     langs = tuple(sorted(found))
     per = {k: [s.encode() for s in sorted(v)] for k, v in found.items()}
-    size = min([dictionary_bytes, *(n for v in per.values() if (n := sum(map(len, v))))])
+    held = {k: min(dictionary_bytes, sum(map(len, v))) for k, v in per.items()}
+    size = min((n for n in held.values() if n and n >= thin * max(held.values())), default=8)
     return LanguageModel(langs, tuple(_fill(per[k], max(size, 8)) for k in langs))
 
 

@@ -228,3 +228,17 @@ def test_cut():
     assert [g[:3] for g in got] == [(0, 0, 452), (1, 452, 1024), (2, 1476, 1024)]
     assert got[0][3] == zlib.crc32(np.array(ids[:452], "<u4").tobytes())
     assert [g[:3] for g in packing.cut([7], 4)] == [(0, 0, 1)] and [g[2] for g in packing.cut(list(range(8)), 4)] == [4, 4]
+
+
+def test_a_rare_language_leaves_the_others_dictionaries_whole(spark):
+    words = {"aa": "the house stands near river water and", "bb": "das haus steht neben dem fluss wasser und"}
+    rows = []
+    for k, v in words.items():
+        for i in range(60):
+            rng = random.Random(f"{k}{i}")
+            rows.append((len(rows), " ".join(rng.choice(v.split()) for _ in range(60)), k))
+    schema = "doc_id bigint, text string, lang string"
+    usual = lid.fit(spark.createDataFrame(rows, schema))
+    rare = lid.fit(spark.createDataFrame([*rows, (999, "qoro zvelti mip ukranto beshi dolla wemm", "zz")], schema))
+    assert rare.langs == ("aa", "bb", "zz") and rare.dictionaries[:2] == usual.dictionaries and len(usual.dictionaries[0]) > 10_000
+    assert all(lid.classify(rare, t)[0] == k and not lid.classify(rare, t)[3] for _, t, k in rows)
