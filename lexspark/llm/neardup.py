@@ -11,8 +11,9 @@ compared with a pivot, the one with the most company over all bands, and it is s
 further bands: small parts are expanded in full, as small buckets are, and large ones are
 compared with that pivot and a random one. Classes are connected components, so members
 that are verified to be of one class need no pairs among themselves. Where a large bucket
-still holds several classes, all pairs of its texts over classes are found exactly, by the
-rarest shingles of each text (`rare_pairs`).
+still holds several classes, all similar pairs of its texts over classes are found, in
+tiles of two bounded blocks of texts, by the rarest shingles of each text (`rare_pairs`);
+a tile gives only the links that it finds, so no rows are made for pairs.
 
 Defined results: equal texts (also empty ones) always share a class; a null text is a
 class of its own; a text without words has no shingles and equals only its copies; a text
@@ -23,9 +24,11 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +38,8 @@ from lexspark.llm.common import U64, mix, pinned, shingle_hashes, written
 
 #: Text ids (16 bytes each) of which a list may be broadcast.
 FEW = 200_000
+#: Shingles of texts that a worker keeps while it verifies a batch of pairs.
+HELD = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -49,6 +54,9 @@ class NearDup:
     small: int = 12
     #: Second bands by which a large bucket is split.
     second: int = 3
+    #: Most texts, and about most bytes of text, of a block of a large bucket.
+    block_texts: int = 1500
+    block_bytes: int = 4_000_000
 
     @property
     def slots(self) -> int:
@@ -92,10 +100,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     (ha, wa), (hb, wb) = a, b
     if not len(ha) or not len(hb):
         return 0.0
-    both, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    if not len(both):
+    at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
+    ia = np.flatnonzero(hb[at] == ha)
+    if not len(ia):
         return 0.0
-    x, y = wa[ia], wb[ib]
+    x, y = wa[ia], wb[at[ia]]
     only_a, only_b = wa.sum() - x.sum(), wb.sum() - y.sum()
     ratio = y / x
     order = np.argsort(ratio, kind="stable")
@@ -153,7 +162,22 @@ def _estimate():
 def _verify(width: int):
     @F.arrow_udf("double")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([similarity(bag(p.as_py(), width), bag(q.as_py(), width)) for p, q in zip(a, b, strict=True)], pa.float64())
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        room = 0
+
+        def of(text: str) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal room
+            own = held.get(text)
+            if own is None:
+                own = bag(text, width)
+                if room > HELD:
+                    held.clear()
+                    room = 0
+                held[text] = own
+                room += len(own[0])
+            return own
+
+        return pa.array([similarity(of(p.as_py()), of(q.as_py())) for p, q in zip(a, b, strict=True)], pa.float64())
 
     return run
 
@@ -192,45 +216,111 @@ def candidates(signed: DataFrame, p: NearDup) -> tuple[DataFrame, DataFrame]:
 
 
 def unsettled(large: DataFrame, roots: DataFrame) -> DataFrame:
-    """(tid, class) of the members of large buckets that hold more than one class."""
+    """(bucket, tid, class) of the members of large buckets that hold more than one class."""
     own = large.select("bucket", "tid").join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left").select("bucket", "tid", F.coalesce("root", "tid").alias("class"))
     mixed = own.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
-    return own.join(mixed, "bucket", "left_semi").select("tid", "class").distinct()
+    return own.join(mixed, "bucket", "left_semi")
 
 
-def _shingles(width: int):
-    @F.arrow_udf("array<struct<h: bigint, n: bigint>>")
-    def run(col: pa.Array) -> pa.Array:
-        bags = [bag(x.as_py(), width) for x in col]
-        at = np.concatenate([[0], np.cumsum([len(h) for h, _ in bags])]).astype(np.int32)
-        h = np.concatenate([h for h, _ in bags]).view(np.int64) if bags else np.empty(0, np.int64)
-        n = np.concatenate([n for _, n in bags]).astype(np.int64) if bags else np.empty(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(h), pa.array(n)], ["h", "n"]))
+@dataclass(frozen=True)
+class Bags:
+    """Bags of shingles one after another: the bag, the shingle's number, its weight and the number of bags that hold it, of each entry; and where each bag starts."""
 
-    return run
+    owner: np.ndarray
+    name: np.ndarray
+    weight: np.ndarray
+    often: np.ndarray
+    start: np.ndarray
+
+    @staticmethod
+    def of(bags: list[tuple[np.ndarray, np.ndarray]]) -> Bags:
+        size = [len(h) for h, _ in bags]
+        _, name, often = np.unique(np.concatenate([h for h, _ in bags] or [np.empty(0, U64)]), return_inverse=True, return_counts=True)
+        return Bags(np.repeat(np.arange(len(bags)), size), name, np.concatenate([w for _, w in bags] or [np.empty(0)]), often[name], np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
+
+    @property
+    def whole(self) -> np.ndarray:
+        return np.bincount(self.owner, self.weight, len(self.start) - 1)
 
 
-def rare_pairs(texts: DataFrame, p: NearDup) -> DataFrame:
-    """Pairs (a < b) over classes of texts (tid, class, t), among them every one whose similarity reaches the threshold.
+def rare_pairs(bags: Bags, kind: np.ndarray, similar: float) -> np.ndarray:
+    """A matrix that is true for pairs (i, j) of bags of different kinds, among them (one way round at least) every one whose similarity reaches `similar`.
 
     Let P and Q be the shares of two texts' weight that lies on common shingles. Their probability Jaccard is at most PQ / (P + Q - PQ), as each term is at most 1 / (1 / a_x + (1 - Q) / b_x), which is concave. So at a similarity of s the greater of P and Q is at least 2s / (1 + s), and the other at least s. With the shingles in one order for all texts, the first common one has at most (1 - s) / (1 + s) of the weight of the one text before it, and at most 1 - s of the other's. Rare shingles are first, so few texts meet; a shingle of one text alone meets none.
     """
-    bags = texts.select("tid", "class", F.explode(_shingles(p.width)("t")).alias("x")).select("tid", "class", "x.h", "x.n")
-    bags = written(bags)
-    often = bags.groupBy("h").agg(F.count("*").alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("c > 1")
-    whole = bags.groupBy("tid").agg(F.sum("n").alias("whole"))
-    own = Window.partitionBy("tid")
-    before = F.coalesce(F.sum("n").over(own.orderBy("c", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    met = bags.join(often, "h").join(whole, "tid").withColumn("before", F.col("whole") - F.sum("n").over(own) + before)
-    share = lambda x: F.col("before") <= F.col("whole") * (x + 1e-9)
-    s = p.similarity
-    # a shingle of one class alone counts in the order, but joins nothing
-    first = written(met.where(share(1 - s) & (F.col("lo") != F.col("hi"))).select("h", "tid", "class", share((1 - s) / (1 + s)).alias("rarest")))
-    # rows of a shingle's largest class aren't joined with each other: a pair over classes has one side outside it
-    usual = first.groupBy("h", "class").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "class"))["class"].alias("usual"))
-    l = first.join(usual, "h").where("class <> usual").select("h", F.col("tid").alias("x"), F.col("class").alias("cx"), F.col("rarest").alias("rx"))
-    r = first.select("h", F.col("tid").alias("y"), F.col("class").alias("cy"), F.col("rarest").alias("ry"))
-    return l.join(r, "h").where("cx <> cy and (rx or ry)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    n = len(bags.start) - 1
+    found = np.zeros((n, n), bool)
+    order = np.lexsort((bags.name, bags.often, bags.owner))
+    owner, name, weight, often = bags.owner[order], bags.name[order], bags.weight[order], bags.often[order]
+    total = np.cumsum(weight) - weight
+    share = (total - np.append(total, 0)[bags.start[:-1]][owner]) / bags.whole[owner]
+    meets = (often > 1) & (share <= 1 - similar + 1e-9)
+    owner, name, rarest = owner[meets], name[meets], share[meets] <= (1 - similar) / (1 + similar) + 1e-9
+    order = np.argsort(name, kind="stable")
+    owner, name, rarest = owner[order], name[order], rarest[order]
+    if len(name):
+        edge = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+        own = kind[owner]
+        worth = (np.minimum.reduceat(own, edge) != np.maximum.reduceat(own, edge)) & np.logical_or.reduceat(rarest, edge)
+        for a, b in zip(edge[worth], np.append(edge[1:], len(name))[worth], strict=True):
+            found[np.ix_(owner[a:b][rarest[a:b]], owner[a:b])] = True
+    return found & (kind[:, None] != kind[None, :])
+
+
+def bounded(bags: Bags, pairs: np.ndarray, similar: float) -> Iterator[tuple[int, int]]:
+    """Those of the pairs (a matrix of truth values) whose common weight lets their similarity reach `similar`, by the bound of `rare_pairs`."""
+    whole, size = bags.whole, np.diff(bags.start)
+    weigh = np.zeros(int(bags.name.max(initial=-1)) + 1)
+    for x in np.flatnonzero(pairs.any(1)).tolist():
+        ys = np.flatnonzero(pairs[x])
+        own = slice(bags.start[x], bags.start[x + 1])
+        weigh[bags.name[own]] = bags.weight[own]
+        first = np.cumsum(size[ys]) - size[ys]
+        at = np.arange(int(size[ys].sum())) + np.repeat(bags.start[ys] - first, size[ys])
+        of_x = weigh[bags.name[at]]
+        p, q = np.add.reduceat(of_x, first) / whole[x], np.add.reduceat(bags.weight[at] * (of_x > 0), first) / whole[ys]
+        weigh[bags.name[own]] = 0
+        for y in ys[p * q >= (similar - 1e-9) * (p + q - p * q)].tolist():
+            yield x, y
+
+
+def _linked(p: NearDup):
+    """A grouped-map function: the texts of one tile (of a bucket's blocks `i` and `j`) to similar pairs over classes, no more than connect the classes. A pair is looked at in the first of the buckets that its texts share, and if their blocks differ, in the tile of both."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        bucket, apart = frame["bucket"].iloc[0], frame["i"].iloc[0] != frame["j"].iloc[0]
+        bags = [bag(t, p.width) for t in frame["t"]]
+        coded = Bags.of(bags)
+        _, kind = np.unique(np.array([c.hex() for c in frame["class"]]), return_inverse=True)
+        found = rare_pairs(coded, kind, p.similarity)
+        found = np.triu(found | found.T)
+        if apart:
+            block = frame["block"].to_numpy()
+            found &= block[:, None] != block[None, :]
+        before = [[x for x in m if x < bucket] for m in frame["mine"]]
+        column = {x: k for k, x in enumerate(sorted({x for m in before for x in m}))}
+        if column and found.any():
+            held = np.zeros((len(bags), len(column)), np.float32)
+            for k, m in enumerate(before):
+                held[k, [column[x] for x in m]] = 1
+            found &= held @ held.T == 0
+        up = list(range(int(kind.max()) + 1))
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        links = []
+        for x, y in bounded(coded, found, p.similarity):
+            k, l = top(kind[x]), top(kind[y])
+            if k != l and similarity(bags[x], bags[y]) >= p.similarity:
+                up[k] = l
+                links.append((frame["class"].iloc[x], frame["class"].iloc[y]))
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return run
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -274,16 +364,20 @@ def verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame, p: NearDup)
 
 
 def across(roots: DataFrame, left: DataFrame, signed: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
-    """The roots (node, root) after the classes of the texts `left` (tid, class) are joined by all similar pairs over them."""
+    """The roots (node, root) after the classes of the texts `left` (bucket, tid, class) are joined by all similar pairs over them that share a bucket.
+
+    A bucket's texts are dealt to blocks of bounded bytes and number, and each two blocks make a tile, in which one task compares them; only links leave it.
+    """
     left = pinned(left)
-    n = left.limit(FEW + 1).count()
-    if not n:
+    if left.isEmpty():
         return roots
-    own = written(texts.join(F.broadcast(left) if n <= FEW else left, "tid").groupBy("tid", "class").agg(F.first("t").alias("t")))
-    links = verified(rare_pairs(own, p), signed, own.select("tid", "t"), p)
-    of = own.select("tid", "class")
-    edges = links.join(of.select(F.col("tid").alias("a"), F.col("class").alias("s")), "a").join(of.select(F.col("tid").alias("b"), F.col("class").alias("d")), "b")
-    later = components(edges.select(F.least("s", "d").alias("a"), F.greatest("s", "d").alias("b")).distinct()).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    each = left.groupBy("tid", "class").agg(F.collect_set("bucket").alias("mine"))
+    own = written(texts.join(left.select("tid").distinct(), "tid", "left_semi").groupBy("tid").agg(F.first("t").alias("t")).join(each, "tid"))
+    sizes = left.join(signed.select("tid", "bytes"), "tid").groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / p.block_texts, F.sum("bytes") / p.block_bytes)).alias("n"))
+    dealt = left.join(sizes, "bucket").select("bucket", "tid", "n", F.pmod(F.xxhash64("tid", "bucket"), F.col("n")).alias("block"))
+    tiles = dealt.select("bucket", "tid", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")).select("bucket", "tid", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    edges = pinned(tiles.join(own, "tid").groupBy("bucket", "i", "j").applyInPandas(_linked(p), "a binary, b binary").distinct())
+    later = components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
     every = roots.unionByName(left.select(F.col("tid").alias("node"), F.col("class").alias("root"))).distinct()
     return every.join(later, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
 
@@ -291,17 +385,18 @@ def across(roots: DataFrame, left: DataFrame, signed: DataFrame, texts: DataFram
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", p: NearDup = NearDup()) -> DataFrame:
     """A row for each document: key, class_id, class_size, tid (its text's digest), root (the digest that all texts of the class share; null for a null text)."""
     tid = F.unhex(F.md5(F.col(text)))
-    members = docs.select(F.col(key).alias("key"), tid.alias("tid"), _sign(p)(F.col(text)).alias("s"))
-    members = written(members.select("key", "tid", "s.sig", "s.bands"))
-    signed = members.where(F.col("sig").isNotNull()).groupBy("tid").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    members = docs.select(F.col(key).alias("key"), tid.alias("tid"), F.octet_length(F.col(text)).alias("bytes"), _sign(p)(F.col(text)).alias("s"))
+    members = written(members.select("key", "tid", "bytes", "s.sig", "s.bands"))
+    signed = members.where(F.col("sig").isNotNull()).groupBy("tid").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.max("bytes").alias("bytes"))
     signed = written(signed)
     texts = docs.where(F.col(text).isNotNull()).select(tid.alias("tid"), F.col(text).alias("t"))
     pairs, large = candidates(signed, p)
     roots = components(verified(pairs, signed, texts, p))
     roots = across(roots, unsettled(large, roots), signed, texts, p).select(F.col("node").alias("tid"), "root")
     joined = members.select("key", "tid").join(roots, "tid", "left").select("key", "tid", F.coalesce("root", "tid").alias("root"))
-    least = joined.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size"))
-    out = joined.join(least, "root", "left")
+    # only classes of several documents are joined back, and broadcast if they are few, so that a large class needn't meet in one task
+    least = pinned(joined.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1"))
+    out = joined.join(F.broadcast(least) if least.limit(FEW + 1).count() <= FEW else least, "root", "left")
     return out.select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "tid", "root")
 
 

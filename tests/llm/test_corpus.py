@@ -152,17 +152,30 @@ def test_near_duplicates_in_a_family_under_the_threshold(spark):
     assert {r.doc_id: r.class_id for r in rows} == {i: i if i < n else i - pairs for i in range(n + pairs)}
 
 
-def test_rare_pairs_lose_none(spark):
+def test_rare_pairs_lose_none():
     rng = random.Random(4)
     words = [f"w{i}" for i in range(8)]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(150)]
     texts += [t + " " + rng.choice(words) for t in texts[:60]] + [t + " " + t for t in texts[:60]]
-    p = neardup.NearDup(width=2)
-    rows = spark.createDataFrame([(bytes([i // 256, i % 256]), bytes([i // 256, i % 256]), t) for i, t in enumerate(texts)], "tid binary, class binary, t string")
-    got = {(int.from_bytes(r.a), int.from_bytes(r.b)) for r in neardup.rare_pairs(rows, p).collect()}
     bags = [neardup.bag(t, 2) for t in texts]
-    want = {(i, j) for j in range(len(texts)) for i in range(j) if neardup.similarity(bags[i], bags[j]) >= p.similarity}
-    assert len(want) > 50 and want <= got < {(i, j) for j in range(len(texts)) for i in range(j)}
+    n, coded = len(texts), neardup.Bags.of(bags)
+    found = neardup.rare_pairs(coded, np.arange(n), 0.8)
+    got = {(i, j) for j in range(n) for i in range(j) if found[i, j] or found[j, i]}
+    want = {(i, j) for j in range(n) for i in range(j) if neardup.similarity(bags[i], bags[j]) >= 0.8}
+    assert len(want) > 50 and want <= got < {(i, j) for j in range(n) for i in range(j)}
+    left = set(neardup.bounded(coded, np.triu(found | found.T), 0.8))
+    assert want <= left < got
+    kind = np.arange(n) % 3
+    assert (neardup.rare_pairs(coded, kind, 0.8) <= (kind[:, None] != kind[None])).all()
+    none = neardup.Bags.of([])
+    assert neardup.rare_pairs(none, np.empty(0), 0.8).shape == (0, 0) and not list(neardup.bounded(none, np.zeros((0, 0), bool), 0.8))
+
+
+def test_large_buckets_in_several_blocks(spark):
+    """The same classes if a bucket's texts need many tiles."""
+    docs = spark.createDataFrame(list(enumerate(family(150, 20))), "doc_id bigint, text string")
+    rows = neardup.classes(docs, p=neardup.NearDup(block_texts=40, block_bytes=50_000)).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {i: i if i < 150 else i - 20 for i in range(170)}
 
 
 # --- fingerprints -------------------------------------------------------------------
