@@ -24,11 +24,10 @@ from pyspark.sql import functions as F
 from lexspark.llm.common import hashed_share, with_struct
 
 FIELDS = ["lang_pred", "score", "margin", "rejected"]
-BLOCK = 2048
+BLOCK = 4096
 #: Bytes that each frame has besides its data.
 FRAME = 9
-#: Texts of at most so many bytes follow a run that ends every dictionary: its match makes the encoder write a compressed frame where it would store the few bytes as they are, and so shows which dictionary helps.
-SHORT = 200
+#: A run that ends every dictionary and begins every block: its match makes the encoder write a compressed frame where it would store a few bytes as they are, and so shows which dictionary helps.
 RUN = bytes(97 + (7 * i * i + 3 * i) % 26 for i in range(120))
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -37,8 +36,7 @@ LETTER = re.compile(r"[^\W\d_]")
 class LanguageModel:
     langs: tuple[str, ...]
     dictionaries: tuple[bytes, ...]
-    level: int = 6
-    short_level: int = 12
+    level: int = 12
     #: Lead of the best over the second, as a share of the best, below which the answer is rejected.
     reject_below: float = 0.004
 
@@ -76,23 +74,19 @@ def _fill(parts: list[bytes], size: int) -> bytes:
 def _compressors(model: LanguageModel):
     import zstandard
 
-    def primed(level: int, end: bytes) -> list:
-        return [
-            zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(d + end, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
-            for d in model.dictionaries
-        ]
-
-    return primed(model.level, b""), primed(model.short_level, RUN)
+    out = []
+    for d in model.dictionaries:
+        held = zstandard.ZstdCompressionDict(d + RUN, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=model.level)
+        out.append(zstandard.ZstdCompressor(level=model.level, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False))
+    return out
 
 
 def sizes(model: LanguageModel, text: str) -> list[int]:
     """Compressed bytes of the whole text under each language's dictionary."""
     data = text.lower().encode("utf-8", "surrogatepass")
-    usual, careful = _compressors(model)
-    if len(data) <= SHORT:
-        return [len(c.compress(RUN + data)) - FRAME for c in careful]
-    blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-    return [sum(len(c.compress(b)) for b in blocks) - FRAME * len(blocks) for c in usual]
+    blocks = [RUN + data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+    return [sum(len(c.compress(b)) for b in blocks) - FRAME * len(blocks) for c in _compressors(model)]
 
 
 def classify(model: LanguageModel, text: str | None) -> tuple[str, float, float, bool]:
