@@ -5,8 +5,8 @@ and word beginnings; the document's probability is their noisy-or, one minus the
 product of the sentences' complements. Only document labels are needed to train, and
 the sentence scores then say where the offence lies.
 
-Defined results: null, empty and wordless texts score the model's base rate for no
-sentence, 0; very long texts are read whole; equal texts score equally; an empty table
+Defined results: null, empty and wordless texts score 0; letters count alike in either
+case, whatever else the text holds; very long texts are read whole; equal texts score equally; an empty table
 gives an empty result; a model fitted without labels of both kinds scores 0. Other
 columns are kept, and one named like a result is replaced.
 """
@@ -79,12 +79,9 @@ def noisy_or(model: ToxicityModel, text: str | None) -> tuple[float, list[tuple[
         return 0.0, []
     hit: list[tuple[int, int, float]] = []
     word, bias, rest = model.word, model.bias, 0.0
-    low = text.lower()
-    if len(low) != len(text):  # a few capitals grow when lowered; then places are those of the text itself
-        low = text
-    for a, b in spans(low):
+    for a, b in spans(text):  # lowered apart, as a few capitals grow when lowered and would shift the places
         s = 0.0
-        for w in WORD.findall(low[a:b]):
+        for w in WORD.findall(text[a:b].lower()):
             s += word(w)
         if s > 0:
             p = 1 / (1 + np.exp(-(bias + s)))
@@ -135,9 +132,9 @@ def fit(sample: list[tuple[str, int]], max_features: int = 2000, steps: int = 10
     plain = np.zeros(len(y))  # sentences without any feature: only the bias
     pos, neg = Counter(), Counter()
     for d, (text, label) in enumerate(sample):
-        low, own = text.lower(), set()
-        for a, b in spans(low):
-            got = Counter(f for w in WORD.findall(low[a:b]) for f in features(w) if _bucket(f) in hopeful)
+        own = set()
+        for a, b in spans(text):
+            got = Counter(f for w in WORD.findall(text[a:b].lower()) for f in features(w) if _bucket(f) in hopeful)
             if got:
                 held.append((d, got))
                 own.update(got)
