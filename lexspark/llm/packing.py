@@ -9,7 +9,7 @@ Islands run as separate tasks; between epochs each sends its elite to its neighb
 ends in badly filled bins is pooled over all blocks and packed again.
 
 Defined results: null and empty texts are documents of the end token alone; documents
-with equal text or equal id are packed each on its own; very long texts are cut into many
+with equal text or equal id are packed each on its own; other columns of the documents are left out; very long texts are cut into many
 pieces; a null id stays null; an empty table gives an empty result.
 """
 
@@ -52,11 +52,11 @@ def _byte_of_char() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """A function from texts to lists of ids. The vocabulary's ids are its merge ranks, so tiktoken can run it; where a probe differs, the tokenizers library does."""
+    """A function from texts to lists of ids, those of the tokenizers library without special tokens added. The vocabulary's ids are its merge ranks, so tiktoken can run it; where a probe differs, or a text names a special token, the library does."""
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    usual = lambda x: slow.encode(x, add_special_tokens=False).ids
     probe = ["The  cat's 12 naïve, übergroße …\n\n x_y  ", "", "año\t ß😀 don't 3.14"]
     try:
         import public_tokenizers
@@ -68,11 +68,11 @@ def encoder(path: str):
         chars = _byte_of_char()
         ranks = {bytes(chars[c] for c in token): i for token, i in held["model"]["vocab"].items() if token not in special}
         fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        if [fast.encode_ordinary(x) for x in probe] == [slow.encode(x, add_special_tokens=False).ids for x in probe]:
-            return fast.encode_ordinary
+        if [fast.encode_ordinary(x) for x in probe] == [usual(x) for x in probe]:
+            return lambda x: usual(x) if any(s in x for s in special) else fast.encode_ordinary(x)
     except (KeyError, ImportError, ValueError):
         pass
-    return lambda x: slow.encode(x, add_special_tokens=False).ids
+    return usual
 
 
 def cut(ids: list[int], limit: int = LIMIT) -> list[tuple[int, int, int, int]]:
