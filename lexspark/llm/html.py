@@ -8,7 +8,8 @@ sees the whole page. It is trained here on a bounded sample of pages, with label
 the paths that name themselves, and on generated pages whose layout says less.
 
 Defined results: a null, empty or text-less page has an empty text; pages of any length
-are read whole; broken markup never fails (a text without tags is one block); equal
+are read whole, in training too; columns named `text` and `n_chars` are replaced, the others
+are kept; broken markup never fails (a text without tags is one block); equal
 pages get equal texts; repeated rows stay; an empty table gives an empty result.
 """
 
@@ -400,8 +401,11 @@ def fit_pages(sample: list[str], hidden: int = 16, epochs: int = 5, made: int =
     """Train on the sample (labels by the teacher) and on `made` generated pages, in pieces of at most `window` blocks."""
     rng = np.random.default_rng(seed)
     parsed = [p for p in map(parse, sample) if p]
-    words = [w for p in parsed for b in p[:20] for w in b.text.split()[:40]][:50_000] or ["text", "page", "word", "line"]
-    data = [(vectors(p)[:window], np.array([teacher(b) for b in p[:window]], np.float32)) for p in parsed]
+    words = [w for p in parsed for b in p for w in b.text.split()] or ["text", "page", "word", "line"]
+    data = []
+    for p in parsed:
+        x, y = vectors(p), np.array([teacher(b) for b in p], np.float32)
+        data += [(x[a : a + window], y[a : a + window]) for a in range(0, len(p), window)]
     for _ in range(made):
         blocks, labels = generated(words, rng)
         data.append((vectors(blocks), np.array(labels, np.float32)))
