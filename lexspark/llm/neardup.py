@@ -133,7 +133,7 @@ def _sign(p: NearDup):
             for j in range(p.rows):
                 key = mix(key * U64(0x100000001B3) + s.reshape(len(part), p.bands, p.rows)[:, :, j])
             for (i, _), row, k in zip(part, s, key.view(np.int64), strict=True):
-                sig[i], bands[i] = row.tobytes(), k
+                sig[i], bands[i] = row.astype(np.uint16).tobytes(), k  # half of a slot's bits do for the estimate
 
         part, size = [], 0
         for i, x in enumerate(col):
@@ -154,7 +154,7 @@ def _estimate():
     @F.arrow_udf("double")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
         x, y = a.to_pylist(), b.to_pylist()
-        return pa.array([float((np.frombuffer(p, np.uint32) == np.frombuffer(q, np.uint32)).mean()) for p, q in zip(x, y, strict=True)])
+        return pa.array([float((np.frombuffer(p, np.uint16) == np.frombuffer(q, np.uint16)).mean()) for p, q in zip(x, y, strict=True)])
 
     return run
 
@@ -372,7 +372,8 @@ def across(roots: DataFrame, left: DataFrame, signed: DataFrame, texts: DataFram
     if left.isEmpty():
         return roots
     each = left.groupBy("tid", "class").agg(F.collect_set("bucket").alias("mine"))
-    own = written(texts.join(left.select("tid").distinct(), "tid", "left_semi").groupBy("tid").agg(F.first("t").alias("t")).join(each, "tid"))
+    wanted = pinned(left.select("tid").distinct())
+    own = written(texts.join(F.broadcast(wanted) if wanted.limit(FEW + 1).count() <= FEW else wanted, "tid", "left_semi").groupBy("tid").agg(F.first("t").alias("t")).join(each, "tid"))
     sizes = left.join(signed.select("tid", "bytes"), "tid").groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / p.block_texts, F.sum("bytes") / p.block_bytes)).alias("n"))
     dealt = left.join(sizes, "bucket").select("bucket", "tid", "n", F.pmod(F.xxhash64("tid", "bucket"), F.col("n")).alias("block"))
     tiles = dealt.select("bucket", "tid", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")).select("bucket", "tid", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
