@@ -1,6 +1,7 @@
 """Language, toxicity, quality, extraction, decontamination and tokens: the pure parts and their DataFrame forms."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -190,15 +191,20 @@ def test_decontamination_against_brute_force(spark):
         return "".join(s)
 
     docs = [(i, prose("de", 30, i) + " " + edited(item(i % 12), i % 9).upper() + "\n\n" + prose("de", 10, i)) for i in range(60)]
-    docs += [(100, None), (101, ""), (102, prose("de", 5000, 8)), (103, f"{item(0)} und {item(0)}"), (103, f"{item(0)} und {item(0)}")]
+    docs += [(104, "a SHORT one, short."), (105, "shorts and shorty ashort"), (106, "(short)"), (100, None), (101, ""), (102, prose("de", 5000, 8)), (103, f"{item(0)} und {item(0)}"), (103, f"{item(0)} und {item(0)}")]
     d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     got = sorted((r.doc_id, r.item_id, r.distance, r.n_places) for r in decontam.find(d, b).collect())
     want = set()
     for i, t in docs:
         for j, x in items:
-            if x and len(x) >= 20:
+            if x:
                 n = decontam.normal(x)
-                dist = brute_distance(n, decontam.normal(t or ""))
+                low = decontam.normal(t or "")
+                if len(n) < 20:  # only exactly, and on word borders
+                    if re.search(rf"(?<!\w){re.escape(n)}(?!\w)", low):
+                        want.add((i, j, 0))
+                    continue
+                dist = brute_distance(n, low)
                 if dist <= int(len(n) * 0.05):
                     want.add((i, j, dist))
     assert {g[:3] for g in got} == want and len(want) > 30
@@ -209,14 +215,48 @@ def test_decontamination_against_brute_force(spark):
     assert decontam.find(d.limit(0), b).count() == decontam.find(d, b.limit(0)).count() == 0
 
 
+def test_short_items_and_items_of_other_ids(spark):
+    docs = spark.createDataFrame([(1, "So: What is 2 +  2? Four."), (2, "what is 2 + 21")], "doc_id bigint, text string").withColumn("m", F.lit(0)).withColumn("_leaks", F.lit(0))
+    long = prose("en", 20, "long")
+    items = spark.createDataFrame([("a", "What is 2 + 2"), (None, "what is 2"), (None, long), ("c", " "), ("d", None)], "item_id string, text string")
+    assert sorted((r.doc_id, str(r.item_id)) for r in decontam.find(docs, items).collect()) == [(1, "None"), (1, "a"), (2, "None")]
+    marked = decontam.mark(docs, items)
+    assert marked.columns == docs.columns and sorted(len(r["_leaks"]) for r in marked.collect()) == [1, 2]
+    assert [str(r.item_id) for r in decontam.find(spark.createDataFrame([(1, f"x {long} y")], "doc_id bigint, text string"), items).collect()] == ["None"]
+
+
+def test_letters_count_alike_in_either_case():
+    model = toxicity.ToxicityModel(-2.0, {"nasty": 7.0})
+    plain, other = toxicity.noisy_or(model, "You are nasty."), toxicity.noisy_or(model, "İ You are NASTY.")
+    assert plain[0] == other[0] > 0.9 and other[1][0][:2] == (0, 16)
+
+
+def test_language_has_one_rule_for_all_lengths(spark):
+    docs = spark.createDataFrame([(i, prose(lang, 60, i), lang) for i in range(40) for lang in ("de", "en")], "doc_id bigint, text string, lang string")
+    model = lid.fit(docs)
+    text = prose("de", 2000, 5)
+    assert all(lid.classify(model, text[:n])[0] == "de" and not lid.classify(model, text[:n])[3] for n in [*range(40, 400, 7), lid.BLOCK - 1, lid.BLOCK, lid.BLOCK + 1, len(text)])
+
+
+def test_late_blocks_are_trained_on():
+    """Blocks after the first window count: the comments of long pages are left out only if training saw them."""
+    seen = []
+    real, html.teacher = html.teacher, lambda b: seen.append(b.text) or 1
+    try:
+        html.fit_pages(["<p>" + "</p><p>".join(f"b{i}" for i in range(50)) + "</p>"], hidden=2, epochs=1, made=0, window=20)
+    finally:
+        html.teacher = real
+    assert seen == [f"b{i}" for i in range(50)]
+
+
 def test_tokens_are_the_librarys():
     from tokenizers import Tokenizer
 
     path = packing.default_tokenizer()
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
     encode = packing.encoder(path)
-    texts = ["", " ", "Don't  stop 123 über\n\n naïve…", "ñandú ß ①② 中文 😀", "a" * 500, prose("de", 300, 1), "<|endoftext|> x", "\t\tx\r\n y "]
+    texts = ["", " ", "Don't  stop 123 über\n\n naïve…", "ñandú ß ①② 中文 😀", "a" * 500, prose("de", 300, 1), "<|endoftext|> x", "a<|endoftext|>b <|endoftext|>", "\t\tx\r\n y "]
+    assert encode("<|endoftext|> x")[0] == slow.token_to_id("<|endoftext|>")
     assert [encode(t) for t in texts] == [slow.encode(t, add_special_tokens=False).ids for t in texts]
 
 
