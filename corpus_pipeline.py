@@ -31,8 +31,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    return decontam.mark(docs, table(spark, sf_dir, "benchmark")).where(F.size("_leaks") == 0).drop("_leaks")
+    """Drops documents that hold a benchmark item; one of under 19 characters, a word or two, is no leak, though the operator reports it."""
+    found = f"_{uuid.uuid4().hex}"
+    leak = F.exists(found, lambda m: m["end"] - m["start"] >= 19)
+    return decontam.mark(docs, table(spark, sf_dir, "benchmark"), name=found).where(~leak).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
