@@ -1,8 +1,9 @@
 """Document quality by co-training.
 
 Two views of a document, its text and its metadata, each train a calibrated logistic
-classifier on the labelled rows. In each round every view labels the unlabelled rows it is
-surest of and hands them to the other view's training set. At the end both views are
+classifier on the labelled rows. In each round every view labels those of all unlabelled
+rows that it is surest of and that the other wasn't told yet, and hands them to the other
+view's training set; how sure it must be is measured on labelled rows it never saw. At the end both views are
 calibrated on rows that neither saw, and a small logistic model of their log-odds scores
 every document.
 
@@ -16,14 +17,15 @@ and is accepted. Other columns are kept, and one named like a result is replaced
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import hashed_share, held_out, mix, with_struct, word_hashes
+from lexspark.llm.common import hashed_share, held_out, mix, with_struct, word_hashes, written
 
 FIELDS = ["score", "text_score", "metadata_score", "accepted"]
 N_TEXT, N_META = 256 + 14, 64 + 16 + 18
@@ -96,7 +98,9 @@ class QualityModel:
     stack: np.ndarray | None = None
     #: Score from which a document is accepted: it goes only where bad is three times likelier than good.
     threshold: float = 0.25
+    #: Pseudo-labels of each round, all and as (those told the text view, those told the metadata view).
     rounds: list = field(default_factory=list)
+    exchanged: list = field(default_factory=list)
 
     def scores(self, t: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.text is None:
@@ -106,67 +110,127 @@ class QualityModel:
         return sure(logit(self.stack, np.stack(z, 1))), sure(z[0]), sure(z[1])
 
 
-def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, t_free: np.ndarray, m_free: np.ndarray, rounds: int = 4, most: int = 300, confident: float = 0.97) -> QualityModel:
-    """Rows with y, and unlabelled rows. Every third labelled row is kept for calibration and never trained on."""
+@dataclass
+class Question:
+    """What a round asks of the unlabelled rows: each view's weights, calibration and bars (for bad, for good), how many of each kind to name, and the rows that each view was told about."""
+
+    weights: list
+    calibration: list
+    bars: list
+    quota: tuple[int, int]
+    taken: list
+
+    def wanted(self, t: np.ndarray, m: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
+        """(view, kind, confidence, id) of these rows' surest, no more than the quota of each view and kind; equal rows have one id and count once."""
+        for v, x in enumerate((t, m)):
+            p = sure(logit(self.calibration[v], logit(self.weights[v], x)[:, None]))
+            new = ~np.isin(ids, self.taken[1 - v])
+            for kind in (0, 1):
+                c = np.round(p if kind else 1 - p, 9)
+                at = np.flatnonzero(new & (c >= self.bars[v][kind]))
+                _, first = np.unique(ids[at], return_index=True)
+                at = at[first]
+                for i in at[np.lexsort((ids[at], -c[at]))][: self.quota[kind]].tolist():
+                    yield v, kind, float(c[i]), int(ids[i])
+
+
+def bar(p: np.ndarray, y: np.ndarray, kind: int, confident: float) -> float:
+    """The least confidence from which on rows that the view never saw are of the kind with probability `confident`; more than 1 if there is none."""
+    c = p if kind else 1 - p
+    order = np.argsort(-c, kind="stable")
+    right = np.cumsum(y[order] == kind)
+    n = np.arange(1, len(c) + 1)
+    good = np.flatnonzero((right + 1) / (n + 2) >= confident)
+    return float(c[order][good[-1]]) if len(good) else 2.0
+
+
+def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, ask: Callable[[Question], list[tuple[int, int, int, np.ndarray, np.ndarray]]] | None, rounds: int = 4, most: int = 300, confident: float = 0.85) -> QualityModel:
+    """Train on rows with y. `ask` answers a round's question about the unlabelled rows with (view, kind, id, text row, metadata row) of those that the view is surest of; the other view learns from them. Every third labelled row is kept for calibration and never trained on."""
     if not len(y) or y.min() == y.max() or len(y) < 12:
         return QualityModel()
     held = np.arange(len(y)) % 3 == 2
     if y[held].min() == y[held].max():
         return QualityModel()
-    views, free, log = [t[~held], m[~held]], [t_free, m_free], []
     base = y[~held]
-    given: list[dict[int, float]] = [{}, {}]  # what each view was told about unlabelled rows
-    fitted: list = [None, None]
+    views = (t, m)
+    told: list[list[tuple[int, int, np.ndarray]]] = [[], []]  # (id, kind, row) that each view was told
+    log: list[tuple[int, int]] = []
+    quota = (max(1, int(most * (1 - base.mean()))), max(1, int(most * base.mean())))
     for step in range(rounds + 1):
-        calibration = []
+        fitted, calibration, bars = [], [], []
         for v in (0, 1):
-            rows = sorted(given[v])
-            x = np.vstack([views[v], free[v][rows]]) if rows else views[v]
-            z = np.append(base, [given[v][r] for r in rows])
-            fitted[v] = logistic(x, z, np.append(np.ones(len(base)), np.full(len(rows), 0.5)))
-            calibration.append(logistic(logit(fitted[v], (t, m)[v][held])[:, None], y[held], l2=0.1))
-        if step == rounds or not len(t_free):
+            own = sorted(told[v], key=lambda r: r[0])
+            x = np.vstack([views[v][~held], *[r[2][None] for r in own]])
+            fitted.append(logistic(x, np.append(base, [r[1] for r in own]), np.append(np.ones(len(base)), np.full(len(own), 0.5))))
+            z = logit(fitted[v], views[v][held])[:, None]
+            calibration.append(logistic(z, y[held], l2=0.1))
+            p = sure(logit(calibration[v], z))
+            bars.append((bar(p, y[held], 0, confident), bar(p, y[held], 1, confident)))
+        if step == rounds or ask is None:
             break
-        told = 0
-        for v in (0, 1):
-            p = sure(logit(calibration[v], logit(fitted[v], free[v])[:, None]))
-            for good, order in ((1.0, np.argsort(-p, kind="stable")), (0.0, np.argsort(p, kind="stable"))):
-                rate = base.mean() if good else 1 - base.mean()
-                for r in order[: max(1, int(most * rate))]:
-                    if (p[r] if good else 1 - p[r]) >= confident and int(r) not in given[1 - v]:
-                        given[1 - v][int(r)] = good
-                        told += 1
-        log.append(told)
-        if not told:
+        answer = ask(Question(fitted, calibration, bars, quota, [np.array([r[0] for r in told[v]], np.int64) for v in (0, 1)]))
+        for v, kind, id_, t_row, m_row in answer:
+            told[1 - v].append((id_, kind, m_row if v == 0 else t_row))
+        log.append((sum(a[0] == 1 for a in answer), sum(a[0] == 0 for a in answer)))
+        if not answer:
             break
-    z = np.stack([logit(c, logit(fitted[v], (t, m)[v][held])[:, None]) for v, c in enumerate(calibration)], 1)
-    return QualityModel(fitted[0], fitted[1], calibration, logistic(z, y[held], l2=0.5), rounds=log)
+    z = np.stack([logit(c, logit(fitted[v], views[v][held])[:, None]) for v, c in enumerate(calibration)], 1)
+    return QualityModel(fitted[0], fitted[1], calibration, logistic(z, y[held], l2=0.5), rounds=[a + b for a, b in log], exchanged=log)
+
+
+def asked_of(rows: DataFrame) -> Callable[[Question], list[tuple[int, int, int, np.ndarray, np.ndarray]]]:
+    """Answers from all rows (rid, t, m): each batch names its surest, and the surest of all are ranked by view and kind."""
+
+    def ask(q: Question) -> list[tuple[int, int, int, np.ndarray, np.ndarray]]:
+        def run(batches):
+            for batch in batches:
+                t, m = (_matrix([x.as_py() for x in batch[c]], c) for c in "tm")
+                found = list(q.wanted(t, m, np.array(batch["rid"].to_pylist(), np.int64)))
+                columns = [pa.array([f[i] for f in found], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["view", "kind", "confidence", "rid"])
+
+        found = rows.select("rid", "t", "m").mapInArrow(run, "view int, kind int, confidence double, rid bigint").distinct()
+        place = F.row_number().over(Window.partitionBy("view", "kind").orderBy(F.desc("confidence"), "rid"))
+        best = found.withColumn("place", place).where(F.col("place") <= F.when(F.col("kind") == 0, q.quota[0]).otherwise(q.quota[1])).collect()
+        if not best:
+            return []
+        wanted = sorted({r.rid for r in best})
+        of = {r.rid: (_matrix([r.t], "t")[0], _matrix([r.m], "m")[0]) for r in rows.where(F.col("rid").isin(wanted)).select("rid", "t", "m").dropDuplicates(["rid"]).collect()}
+        return [(r.view, r.kind, r.rid, *of[r.rid]) for r in sorted(best, key=lambda r: (r.view, r.kind, r.place))]
+
+    return ask
+
+
+#: How the views of a row are kept: half floats for the text's figures, bytes for the metadata's zeros and ones.
+KEPT = {"t": (np.float16, N_TEXT), "m": (np.uint8, N_META)}
+
+
+def _matrix(rows: list[bytes], view: str) -> np.ndarray:
+    kind, n = KEPT[view]
+    return np.frombuffer(b"".join(rows), kind).reshape(-1, n).astype(float)
 
 
 def _columns(docs: DataFrame, names: tuple[str, str, str]):
     return [F.col(f"`{c}`") if c in docs.columns else F.lit(None).cast("string") for c in names]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", metadata: tuple[str, str, str] = ("source", "lang", "n_chars"), max_labelled: int = 6000, max_unlabelled: int = 4000) -> QualityModel:
-    """Fit on bounded samples by a hash of the id: about `max_labelled` labelled and `max_unlabelled` other documents, held-out ids left out."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", metadata: tuple[str, str, str] = ("source", "lang", "n_chars"), max_labelled: int = 6000, **options) -> QualityModel:
+    """Fit on about `max_labelled` labelled documents, chosen by a hash of the id, and on all unlabelled ones, which are written once as vectors; held-out ids are left out."""
 
     @F.arrow_udf("struct<t: binary, m: binary>")
     def views(text: pa.Array, source: pa.Array, lang: pa.Array, n: pa.Array) -> pa.Array:
-        t = [text_view(x.as_py()).tobytes() for x in text]
-        m = [metadata_view(*(x.as_py() for x in row)).tobytes() for row in zip(source, lang, n, strict=True)]
+        t = [text_view(x.as_py()).astype(KEPT["t"][0]).tobytes() for x in text]
+        m = [metadata_view(*(x.as_py() for x in row)).astype(KEPT["m"][0]).tobytes() for row in zip(source, lang, n, strict=True)]
         return pa.StructArray.from_arrays([pa.array(t, pa.binary()), pa.array(m, pa.binary())], ["t", "m"])
 
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
-    n, all_docs = known.count(), docs.count()
-    share, free_share = min(1.0, max_labelled / max(1, n)), min(1.0, max_unlabelled / max(1, all_docs))
-    own = docs.where(F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key), F.col(text).alias("_t"), *[c.alias(f"_m{i}") for i, c in enumerate(_columns(docs, metadata))])
-    seen = views("_t", "_m0", "_m1", "_m2").alias("v")
-    have = own.where(hashed_share(F.col(key), share)).join(known.where(hashed_share(F.col(key), share)), key).select("_y", seen).select("_y", "v.*").collect()
-    free = own.where(hashed_share(F.concat_ws(":", F.lit("free"), F.col(key).cast("string")), free_share)).join(known, key, "left_anti").select(seen).select("v.*").collect()
-    have.sort(key=lambda r: (zlib.crc32(r.t + r.m), r._y))
-    free.sort(key=lambda r: (r.t, r.m))
-    matrix = lambda rows, c, k: np.frombuffer(b"".join(r[c] for r in rows), np.float32).reshape(-1, k).astype(float)
-    return co_train(matrix(have, "t", N_TEXT), matrix(have, "m", N_META), np.array([r._y for r in have], float), matrix(free, "t", N_TEXT), matrix(free, "m", N_META))
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
+    share = min(1.0, max_labelled / max(1, known.count()))
+    own = docs.where(F.col(key).isNotNull() & ~held_out(F.col(key)))
+    own = own.select(F.col(key).alias("key"), views(F.col(text), *_columns(docs, metadata)).alias("v")).select("key", "v.*")
+    rows = written(own.join(known, "key", "left").select("key", "y", F.xxhash64("t", "m").alias("rid"), "t", "m"))
+    have = rows.where(F.col("y").isNotNull() & hashed_share(F.col("key"), share)).select("y", "rid", "t", "m").collect()
+    have.sort(key=lambda r: (zlib.crc32(r.t + r.m), r.y))
+    return co_train(_matrix([r.t for r in have], "t"), _matrix([r.m for r in have], "m"), np.array([r.y for r in have], float), asked_of(rows.where(F.col("y").isNull())), **options)
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", metadata: tuple[str, str, str] = ("source", "lang", "n_chars")) -> DataFrame:

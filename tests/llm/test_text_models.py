@@ -95,6 +95,69 @@ def test_quality(spark):
     assert blank.text is None and quality.score(docs, blank).where("score = 0.5 and accepted").count() == 240
 
 
+def two_views(n, seed, noise=0.12):
+    """Rows whose two views each tell the kind, with errors of their own."""
+    rng = np.random.default_rng(seed)
+    y = (rng.random(n) < 0.6).astype(float)
+    view = lambda k: np.stack([np.where(rng.random(n) < noise, 1 - y, y) for _ in range(k)], 1) + rng.normal(0, 0.05, (n, k))
+    return view(3), view(2), y
+
+
+def plain_loop(t, m, y, t_free, m_free, ids, rounds, most, confident):
+    """Co-training in plain loops over all rows: what each view is told in each round."""
+    held = np.arange(len(y)) % 3 == 2
+    base, told, log = y[~held], [{}, {}], []
+    for _ in range(rounds):
+        new = [{}, {}]
+        for v, (x, free) in enumerate(((t, t_free), (m, m_free))):
+            rows = sorted(told[v])
+            w = quality.logistic(np.vstack([x[~held], *[free[ids.index(r)][None] for r in rows]]), np.append(base, [told[v][r] for r in rows]), np.append(np.ones(len(base)), np.full(len(rows), 0.5)))
+            z = quality.logit(w, x[held])[:, None]
+            c = quality.logistic(z, y[held], l2=0.1)
+            p_held, p = quality.sure(quality.logit(c, z)), quality.sure(quality.logit(c, quality.logit(w, free)[:, None]))
+            for kind in (0, 1):
+                side, seen = (p if kind else 1 - p).round(9), p_held if kind else 1 - p_held
+                least = 2.0
+                for n in range(1, len(seen) + 1):
+                    top = sorted(range(len(seen)), key=lambda i: -seen[i])[:n]
+                    if (sum(y[held][top] == kind) + 1) / (n + 2) >= confident:
+                        least = seen[top[-1]]
+                quota = max(1, int(most * (base.mean() if kind else 1 - base.mean())))
+                for i in sorted((i for i in range(len(ids)) if side[i] >= least and ids[i] not in told[1 - v]), key=lambda i: (-side[i], ids[i]))[:quota]:
+                    new[1 - v][ids[i]] = kind
+        for v in (0, 1):
+            told[v] |= new[v]
+        log.append((len(new[0]), len(new[1])))
+    return log
+
+
+def test_co_training_against_a_plain_loop(spark):
+    t, m, y = two_views(90, 1)
+    t_free, m_free, _ = two_views(400, 2)
+    ids = list(range(400))
+
+    def ask(q):
+        return [(v, kind, i, t_free[i], m_free[i]) for v, kind, _, i in q.wanted(t_free, m_free, np.array(ids))]
+
+    model = quality.co_train(t, m, y, ask, rounds=3, most=40, confident=0.8)
+    assert model.exchanged == plain_loop(t, m, y, t_free, m_free, ids, 3, 40, 0.8)
+    assert all(a > 0 and b > 0 for a, b in model.exchanged) and len(model.exchanged) == 3  # both views teach, in every round
+    new_t, new_m, new_y = two_views(500, 3)
+    scores = model.scores(new_t, new_m)
+    assert ((scores[0] > 0.5) == new_y).mean() > 0.9
+
+
+def test_all_unlabelled_rows_are_asked(spark, monkeypatch):
+    """Over Spark partitions the surest rows are those of one batch of all."""
+    monkeypatch.setattr(quality, "KEPT", {"t": (np.float64, 3), "m": (np.float64, 2)})
+    t, m, y = two_views(90, 1)
+    t_free, m_free, _ = two_views(300, 2)
+    rows = spark.createDataFrame([(i, t_free[i].tobytes(), m_free[i].tobytes()) for i in range(300)], "rid bigint, t binary, m binary").repartition(5)
+    ask = lambda q: [(v, kind, i, t_free[i], m_free[i]) for v, kind, _, i in q.wanted(t_free, m_free, np.arange(300))]
+    one, other = (quality.co_train(t, m, y, a, rounds=2, most=40, confident=0.8) for a in (ask, quality.asked_of(rows.unionByName(rows))))
+    assert one.exchanged == other.exchanged and np.allclose(one.text, other.text) and np.allclose(one.stack, other.stack)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>x</title><style>p{}</style><script>var a = "</p>";</script></head><body>
 <nav><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></nav><div class="cookie-notice"><p>We use cookies here.</p></div>
 <article><h1>A  title &amp; more</h1><p>First <b>bold</b> paragraph&nbsp;of the text, which is long enough.<p>Second one,
