@@ -12,18 +12,18 @@ looking a term up needs no join.
 Defined results: a null text counts as empty; a text without kept terms gets a hash of its
 terms and is like only an equal one; the next document is the next in order of id, then of
 text digest (null ids first), and after the last comes the first; a table of one document
-follows itself; very long texts are read whole; equal texts have equal fingerprints; an
-empty table gives an empty result.
+follows itself; ids may be numbers or strings; other columns are kept; very long texts are
+read whole; equal texts have equal fingerprints; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from lexspark.llm.common import written
+from pyspark.sql.types import IntegralType, StringType
 
 BUCKETS = 16384
 #: One in so many lexicon terms belongs to a subset; each rate has several subsets, which share no term.
@@ -32,6 +32,7 @@ PER_RATE = 8
 #: What xxhash64 makes of an empty array: its seed.
 EMPTY = 42
 RANGE_ROWS = 4000
+RANGES = 16384
 
 
 def terms(text: Column) -> Column:
@@ -108,37 +109,54 @@ def fingerprint(docs: DataFrame, lex: DataFrame, text: str = "text", name: str =
     return subsets(docs, lex, text, f"{name}_subsets").withColumn(name, named(f"{name}_subsets", text))
 
 
+def _number(docs: DataFrame, key: str) -> Column:
+    """A number that rises (not always strictly) with the key, least for null: integers as they are, seven bytes of a string, and the double of what else."""
+    kind, k = docs.schema[key].dataType, F.col(f"`{key}`")
+    if isinstance(kind, IntegralType):
+        return F.coalesce(k.cast("bigint"), F.lit(-(2**63)))
+    if isinstance(kind, StringType):
+        head = F.rpad(F.hex(F.substring(F.encode(k, "utf-8"), 1, 7)), 14, "0")
+        return F.coalesce(F.conv(head, 16, 10).cast("bigint"), F.lit(-1).cast("bigint"))
+    return F.coalesce(k.cast("double"), F.lit(float("-inf")))
+
+
 def _range_of(docs: DataFrame, key: str) -> Column:
-    """The number of a row's range of keys: ranges of about RANGE_ROWS rows, at most 4096, found by an approximate quantile sketch; two steps of at most 64 comparisons."""
-    n = docs.count()
-    parts = min(4096, max(1, n // RANGE_ROWS))
-    cuts: list[int] = []
-    if parts > 1:
-        got = docs.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts).alias("q")).first()[0]
-        cuts = sorted(set(got or []))
-    groups = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
-    if not groups:
+    """The number of a row's range of keys, by an approximate quantile sketch, found in two steps through equal groups of cuts. Ranges hold about RANGE_ROWS rows; beyond RANGES of them they grow."""
+    k = _number(docs, key)
+    kept = docs.select(k.alias("k"))
+    parts = min(RANGES, kept.count() // RANGE_ROWS)
+    if parts < 2:
         return F.lit(0)
-    k = F.coalesce(F.col(key), F.lit(-(2**63)))
-    array = lambda xs: F.array(*[F.lit(int(x)).cast("bigint") for x in xs])
+    cuts = sorted(set(kept.select(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]))
+    width = math.isqrt(len(cuts) - 1) + 1
+    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    kind = kept.schema["k"].dataType.simpleString()
+    # a text splits into a constant array much faster than one is built of literals
+    array = lambda xs: F.split(F.lit(",".join(map(repr, xs))), ",").cast(f"array<{kind}>")
     count = lambda xs: F.size(F.filter(xs, lambda b: b < k))
     coarse = F.greatest(count(array([g[0] for g in groups])) - 1, F.lit(0))
-    return coarse * 64 + count(F.element_at(F.array(*[array(g) for g in groups]), coarse + 1))
+    held = F.transform(F.split(F.lit(";".join(",".join(map(repr, g)) for g in groups)), ";"), lambda g: F.split(g, ",").cast(f"array<{kind}>"))
+    return coarse * width + count(F.element_at(held, coarse + 1))
 
 
 def with_next(docs: DataFrame, key: str, text: str, derive) -> DataFrame:
     """Append what `derive` adds to a row, and next_<column> of it and of the text: the following row's in order of key.
 
-    Rows are dealt to ranges of the key, so no task holds all; the last row of a range takes the first row of the next range that has any.
+    Rows are dealt to ranges of the key, so no task holds all. Each range also gets a copy of the first row of the next range that has any, and ends in it. Only one row's number and key a range meet in one task.
     """
-    dealt = docs.withColumn("_range", _range_of(docs, key)).withColumn("_tie", F.xxhash64(text))
-    first = dealt.groupBy("_range").agg(F.min_by(text, F.struct(F.col(key), F.col("_tie"))).alias(text))
-    # at most 4096 ranges, so one task may order them
-    ring = Window.partitionBy(F.lit(0)).orderBy("_range")
-    turn = first.select("_range", F.coalesce(F.lead(text).over(ring), F.first(text).over(ring)).alias(text))
-    full = derive(dealt)
-    own = [text, *(c for c in full.columns if c not in dealt.columns)]
-    turn = derive(turn).select(F.col("_range"), F.struct(*own).alias("_over"))
-    order = Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_first(), F.col("_tie"))
-    out = full.withColumn("_next", F.lead(F.struct(*own)).over(order)).join(turn, "_range").withColumn("_next", F.coalesce("_next", "_over"))
-    return out.select(*docs.columns, *own[1:], *[F.col(f"_next.{c}").alias(f"next_{c}") for c in own])
+    mark = uuid.uuid4().hex[:8]
+    part, tie, last, nxt = (f"_{n}_{mark}" for n in ("range", "tie", "last", "next"))
+    dealt = docs.withColumn(part, _range_of(docs, key))
+    firsts = dealt.groupBy(part).agg(F.min(F.struct(F.col(key).alias("k")))["k"].alias("first"))
+    ring = Window.partitionBy(F.lit(0)).orderBy(part)
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = firsts.select(F.col(part).alias("own"), "first", F.coalesce(F.lag(part).over(ring), F.last(part).over(whole)).alias("before"))
+    # at most RANGES + 1 rows
+    lead = dealt.join(F.broadcast(firsts), (F.col(part) == F.col("own")) & F.col(key).eqNullSafe(F.col("first")))
+    lead = lead.groupBy(F.col("before").alias(part)).agg(F.min_by(text, F.xxhash64(text)).alias(text))
+    full = derive(dealt.withColumn(tie, F.xxhash64(text)).withColumn(last, F.lit(False)))
+    own = [text, *(c for c in full.columns if c not in (*dealt.columns, tie, last))]
+    full = full.unionByName(derive(lead).withColumn(last, F.lit(True)), allowMissingColumns=True)
+    order = Window.partitionBy(part).orderBy(last, F.col(key).asc_nulls_first(), tie)
+    out = full.withColumn(nxt, F.lead(F.struct(*own)).over(order)).where(~F.col(last))
+    return out.select(*docs.columns, *own[1:], *[F.col(f"{nxt}.{c}").alias(f"next_{c}") for c in own])

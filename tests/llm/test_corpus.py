@@ -200,6 +200,39 @@ def test_imatch(spark):
     assert len({next(iter(v)) for v in by_text.values()}) >= len(by_text) - 1  # only "" and "!!!" have the same terms, none
 
 
+def brute_imatch(texts, low, high):
+    """Fingerprints by plain loops: the kept terms' hashes in order, and a hash for each subset of the lexicon."""
+    bags = [{w for w in re.findall(r"[^\W_]+", (t or "").lower())} for t in texts]
+    n, df = sum(bool(t) for t in texts), {}
+    for b in bags:
+        for w in b:
+            df[w] = df.get(w, 0) + 1
+    return [frozenset(w for w in b if max(2, low * n) <= df[w] <= max(high * n, 2)) for b in bags]
+
+
+def test_fingerprints_are_those_of_the_kept_terms(spark):
+    """Texts have equal fingerprints just if their kept terms are equal, and the likeness is the share of equal subset hashes, which falls with the terms that differ."""
+    base = prose(150, 5).split()
+    texts = [" ".join(base), " ".join(reversed(base)), " ".join(base).upper() + "!", " ".join(base[:140]), " ".join(base[:60])] + [prose(80, i) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    lex = imatch.lexicon(docs, low=0.02, high=0.6)
+    kept = brute_imatch(texts, 0.02, 0.6)
+    rows = [r for r in sorted(imatch.fingerprint(docs, lex).collect(), key=lambda r: r.doc_id)]
+    for i in range(len(texts)):
+        for j in range(i):
+            if kept[i] and kept[j]:
+                assert (rows[i].fingerprint_subsets == rows[j].fingerprint_subsets) >= (kept[i] == kept[j])
+    assert rows[0].fingerprint == rows[1].fingerprint == rows[2].fingerprint
+
+    def like(i, j):
+        both = [(x, y) for x, y in zip(rows[i].fingerprint_subsets, rows[j].fingerprint_subsets, strict=True) if not x == y == imatch.EMPTY]
+        return sum(x == y for x, y in both) / len(both)
+
+    got = {r.doc_id: r.like for r in imatch.fingerprint(docs, lex).crossJoin(F.broadcast(imatch.fingerprint(docs.where("doc_id = 0"), lex).select(F.col("fingerprint").alias("f"), F.col("fingerprint_subsets").alias("s")))).select("doc_id", imatch.likeness(F.col("fingerprint_subsets"), F.col("s"), F.col("fingerprint"), F.col("f")).alias("like")).collect()}
+    assert all(got[i] == pytest.approx(1.0 if rows[i].fingerprint == rows[0].fingerprint else like(0, i)) for i in got)
+    assert 1 == got[2] > got[3] >= got[4]
+
+
 def test_next_rows(spark, monkeypatch):
     monkeypatch.setattr(imatch, "RANGE_ROWS", 5)
     ids = random.Random(2).sample(range(10_000), 83) + [None, 77_777, 77_777]
@@ -213,7 +246,11 @@ def test_next_rows(spark, monkeypatch):
     assert at == seen[0] and len(set(seen)) == len(rows)  # one ring
     order = [next(r.doc_id for r in rows if r.text == t) for t in seen]
     assert order == sorted(order, key=lambda i: -1 if i is None else i)
-    alone = imatch.with_next(docs.limit(1), "doc_id", "text", lambda d: d.withColumn("n", F.length("text"))).first()
+    named = docs.where("doc_id is not null").select(F.lpad(F.col("doc_id").cast("string"), 9, "é").alias("doc_id"), "text", F.lit(1).alias("_range")).dropDuplicates(["doc_id"])
+    rows = imatch.with_next(named, "doc_id", "text", lambda d: d.withColumn("n", F.length("text"))).collect()
+    want = sorted(rows, key=lambda r: r.doc_id)
+    assert [r.next_text for r in want] == [r.text for r in want[1:] + want[:1]] and rows[0].__fields__[2] == "_range" and len(rows) == 84
+    alone = imatch.with_next(docs.orderBy("text").limit(1), "doc_id", "text", lambda d: d.withColumn("n", F.length("text"))).first()
     assert alone.next_text == alone.text
     assert imatch.with_next(docs.limit(0), "doc_id", "text", lambda d: d.withColumn("n", F.length("text"))).count() == 0
 
