@@ -85,6 +85,11 @@ def test_cases(corpus):
         ("제7조, 제9조제1항 또는 법 제3조", ["7", "9"]),
         ("제1조부터 제20조까지", ["1", "20"]),
         ("같은 법 제3조에 따라 제4조를", ["4"]),
+        ("사업주는 제3조제1항 단서 및 제4조 각 호 외의 부분에 따라", ["3", "4"]),
+        ("이 영 제2조와 「상법」(이하 \"상법\"이라 한다) 제9조, 제10조", ["2"]),
+        ("그 방법 제3조, 이 규칙 제4조(정의)부터 제6조까지", ["4", "5", "6"]),
+        ("제1조의2부터 제3조까지", ["1의2", "3"]),
+        ("시행령 제1조 또는 제2조에서 제3조", ["3"]),
         ("", []),
     ],
 )
@@ -102,6 +107,8 @@ def test_own_references(said, keys):
         ("남녀고용평등과 일ㆍ가정 양립 지원에 관한 법률 제19조의2", [("남녀고용평등과일ㆍ가정양립지원에관한법률", "19의2")]),
         ("남녀고용평등과 일·가정 양립 지원에 관한 법률 제19조", [("남녀고용평등과일ㆍ가정양립지원에관한법률", "19")]),
         ("근로기준법(이하 '법'(약칭)이라 한다) 제5조", [("근로기준법", "5")]),
+        ("민법 제2조, 구 상법(2000. 1. 1. 전문 개정 전의 것) 제3조, 제4조 / 형법 제5조, 제6조의2 제1항", [("민법", "2"), ("형법", "5"), ("형법", "6의2")]),
+        ("제3조, 구민법 제4조", [("민법", "4")]),
         ("", []),
     ],
 )
@@ -146,6 +153,37 @@ def test_answers(spark, corpus, tmp_path):
     assert datetime.date.today()
 
 
+def test_models_are_called_once(spark, corpus, tmp_path):
+    """Five questions make five calls, the citations are those of the answers returned, and a batch of no questions works."""
+    log = str(tmp_path / "calls")
+
+    def counting():
+        def call(prompt):
+            with open(log, "a") as f:
+                f.write("x")
+            with open(log) as f:
+                n = len(f.read())
+            if "질문 3" in prompt:
+                raise OSError("down")
+            return f"답 {n}입니다. [S1]"
+
+        return call
+
+    questions = spark.createDataFrame([(i, f"질문 {i} 1주 간의 근로시간", "2026-10-01" if i % 2 else "2020-01-01") for i in range(5)], "query_id bigint, question string, as_of string")
+    chunks = ingest.indexed(corpus)
+    o = answer.Options(top_k=2, tau=-2.0, generator=counting, links=False)
+    blocks = answer.blocks(questions, chunks, corpus, o).cache()
+    got = answer.answered(questions, blocks, o, corpus.cases)
+    rows = got.collect()
+    assert sorted(map(str, rows)) == sorted(map(str, got.collect())) and len(open(log).read()) == 5
+    assert [(r.status, r.refusal_reason) for r in rows if r.query_id == 3] == [("error", "OSError: down")]
+    assert all(r.citations[0].source == "S1" for r in rows if r.query_id != 3) and len({r.answer for r in rows if r.query_id != 3}) > 1
+    none = questions.limit(0)
+    assert answer.answered(none, answer.blocks(none, chunks, corpus, o), o, corpus.cases).count() == 0
+    days = {r.query_id: {b.status for b in blocks.where(F.col("query_id") == r.query_id).collect()} for r in questions.collect()}
+    assert days[0] != days[1]
+
+
 def test_files(spark, corpus, tmp_path):
     for m, c in manifest():
         p = tmp_path / m[7]
