@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
+WORD_CHAR, NO_WORD = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]+"
 # Marks of amendment in statute texts, and the circled paragraph numbers.
 AMENDMENT = r"[<\[](?:개정|신설|전문개정|본조신설)\s+([\d.,\s]+)[>\]]"
 DATE = r"(\d{4})\.\s*(\d{1,2})\.\s*(\d{1,2})"

@@ -88,20 +88,75 @@ def _block(corpus: DataFrame, held: list, top: int, doc_id: str, vector: str, qu
     return corpus.select(doc_id, vector, *([tag] if tag else [])).mapInArrow(run, f"{query_id} bigint, {doc_id} bigint, score double")
 
 
+#: Bigrams of a batch's questions up to which each is counted in the texts as they are; with more, the texts are cut into bigrams.
+FEW_BIGRAMS = 200
+
+
+def _length(text: Column) -> Column:
+    """The number of a text's bigrams (one for a word of one character), without making them."""
+    s = F.trim(F.regexp_replace(text, X.NO_WORD, " "))
+    letters = F.length(F.replace(s, F.lit(" "), F.lit("")))
+    words = F.when(s == "", 0).otherwise(F.length(s) - letters + 1)
+    return letters - words + F.regexp_count(s, F.lit("(?<![^ ])[^ ](?![^ ])"))
+
+
+def _quoted(s: str) -> str:
+    return rf"\Q{s}\E"
+
+
+def _count(text: Column, bigram: str) -> Column:
+    """How often a bigram (or a word of one character) occurs, overlaps counted."""
+    if len(bigram) == 1:
+        return F.regexp_count(text, F.lit(f"(?<!{X.WORD_CHAR}){_quoted(bigram)}(?!{X.WORD_CHAR})"))
+    if bigram[0] == bigram[1]:
+        return F.regexp_count(text, F.lit(f"(?={_quoted(bigram)})"))
+    return ((F.length(text) - F.length(F.replace(text, F.lit(bigram), F.lit("")))) / 2).cast("int")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query: str = "query") -> DataFrame:
-    """Scores of all documents that share a bigram with a query: query_id, doc_id, score. Only postings of the queries' bigrams are made."""
+    """Scores of all documents that share a bigram with a query: query_id, doc_id, score. Only postings of the queries' bigrams are made, and only those are shuffled; the corpus is read once for its statistics and once for the scores."""
     asked = queries.select(query_id, F.explode(F.array_distinct(X.bigrams(query))).alias("t"))
-    known = F.broadcast(asked.select("t").distinct())  # a query's bigrams; bounded by the queries' own text
-    own = docs.select(F.col(doc_id), X.bigrams(text).alias("_t"))
-    sized = own.select(doc_id, F.size("_t").cast("double").alias("len"), "_t")
-    total = sized.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("mean"))
-    postings = sized.select(doc_id, "len", F.explode("_t").alias("t")).join(known, "t").groupBy("t", doc_id).agg(F.count("*").cast("double").alias("tf"), F.first("len").alias("len"))
+    few = sorted(r.t for r in asked.select("t").distinct().limit(FEW_BIGRAMS + 1).collect())
+    c = F.col(text)
+    if 0 < len(few) <= FEW_BIGRAMS:
+        found = F.array(*[F.struct(F.lit(t).alias("t"), _count(c, t).cast("double").alias("tf")) for t in few])
+        own = docs.select(doc_id, _length(c).cast("double").alias("len"), F.filter(found, lambda p: p["tf"] > 0).alias("p"))
+        total = own.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("mean"))
+        postings = own.select(doc_id, "len", F.explode("p").alias("p")).select("p.t", doc_id, "p.tf", "len")
+    else:
+        cut = docs.select(F.col(doc_id), X.bigrams(text).alias("_t")).select(doc_id, F.size("_t").cast("double").alias("len"), "_t")
+        total = cut.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("mean"))
+        postings = cut.select(doc_id, "len", F.explode("_t").alias("t")).join(asked.select("t").distinct(), "t").groupBy("t", doc_id).agg(F.count("*").cast("double").alias("tf"), F.first("len").alias("len"))
     df = postings.groupBy("t").agg(F.count("*").cast("double").alias("df"))
-    n, mean = total.first() or (0, 1)
-    idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))
-    rows = postings.join(F.broadcast(df), "t").select("t", doc_id, weight.alias("w"))
-    return rows.join(F.broadcast(asked), "t").groupBy(query_id, doc_id).agg(F.sum("w").alias("score"))
+    n, mean = total.select("n").scalar(), F.coalesce(F.nullif(total.select("mean").scalar(), F.lit(0.0)), F.lit(1.0))
+    idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = asked.join(df.select("t", idf.alias("idf")), "t")
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
+    return postings.join(known, "t").select(query_id, doc_id, weight.alias("w")).groupBy(query_id, doc_id).agg(F.sum("w").alias("score"))
+
+
+def nearest(rows: DataFrame, gold: DataFrame, row_id: str, gold_id: str, vector: str = "embedding") -> DataFrame:
+    """For each row its gold item of the largest inner product, by (score, id): row_id, nearest, score. Gold items go in blocks of bounded size, each multiplied with a batch of rows, so no pairs are made."""
+    out = None
+    for held in _query_blocks(gold.orderBy(gold_id), [gold_id, vector]):
+        one = _nearest(rows, held, row_id, vector)
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return rows.limit(0).select(row_id, F.lit(None).cast("bigint").alias("nearest"), F.lit(None).cast("double").alias("score"))
+    best = F.max(F.struct("score", (-F.col("nearest")).alias("k")))
+    return out.groupBy(row_id).agg(best.alias("b")).select(row_id, (-F.col("b.k")).alias("nearest"), F.col("b.score").alias("score"))
+
+
+def _nearest(rows: DataFrame, held: list, row_id: str, vector: str) -> DataFrame:
+    known, q = np.asarray([r[0] for r in held]), np.array([r[1] for r in held], float)
+
+    def run(batches):
+        for b in batches:
+            s = np.round(_matrix(b.column(1), q.shape[1]) @ q.T, 9)
+            at = s.argmax(axis=1) if len(s) else np.empty(0, int)
+            yield pa.record_batch([b.column(0), pa.array(known[at]), pa.array(s[np.arange(len(s)), at])], names=[row_id, "nearest", "score"])
+
+    return rows.select(row_id, vector).mapInArrow(run, f"{row_id} bigint, nearest bigint, score double")
 
 
 def top_k(scores: DataFrame, k: int, by: list[str], order: list[Column]) -> DataFrame:

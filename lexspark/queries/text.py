@@ -113,9 +113,9 @@ def quote_argmax(spark, sf_dir):
     c = load(spark, sf_dir, "conversations")
     a = c.where("role = 'assistant'").select("conv_id", "turn", "text")
     u = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), X.bigram_set("text").alias("g"))
-    rows = a.join(u, ["conv_id", "turn"]).select("conv_id", "turn", "g", F.posexplode(F.split("text", "\n")).alias("i", "line")).where((F.col("i") > 0) & (X.strip("line") != ""))
-    n = F.size(F.array_intersect(X.bigram_set("line"), "g"))
-    best = rows.groupBy("conv_id", "turn").agg(F.max(F.struct(n.alias("n"), (-F.col("i")).alias("at"), F.col("line"))).alias("b"))
+    shared = lambda line: F.size(F.array_intersect(X.bigram_set(line), F.col("g")))
+    scored = F.transform(F.split("text", "\n"), lambda line, i: F.when((i > 0) & (X.strip(line) != ""), F.struct(shared(line).alias("n"), (-i).alias("at"), line.alias("line"))))
+    best = a.join(u, ["conv_id", "turn"]).select("conv_id", "turn", F.array_max(scored).alias("b")).where("b is not null")
     return best.select("conv_id", "turn", F.substring("b.line", 1, 300).alias("quote"), "b.n")
 
 
@@ -176,8 +176,8 @@ def running_offset(spark, sf_dir):
 def fixed_chunks(spark, sf_dir):
     """Windows of 512 words that share 64."""
     d = _docs(spark, sf_dir).select("doc_id", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("w"))
-    c = d.select("doc_id", "w", F.explode(C.windows(F.size("w"))).alias("start"))
-    return c.select("doc_id", "start", F.least(F.col("start") + 512, F.size("w")).alias("stop"), F.md5(F.array_join(F.slice("w", F.col("start") + 1, F.lit(512)), " ")).alias("digest"))
+    cut = lambda s: F.struct(s.alias("start"), F.least(s + 512, F.size("w")).alias("stop"), F.md5(F.array_join(F.slice("w", s + 1, F.lit(512)), " ")).alias("digest"))
+    return d.select("doc_id", F.explode(F.transform(C.windows(F.size("w")), cut)).alias("c")).select("doc_id", "c.*")
 
 
 @query(
