@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
 from lexspark.sources import cache
+from lexspark.tables import stored
 
 
 class HashEmbedder:
@@ -71,8 +72,16 @@ def overlap_reranker() -> Callable:
     return lambda pairs: [len(grams(q) & grams(t)) for q, t in pairs]
 
 
-def called(jobs: DataFrame, factory: Callable, key: list[str], prompt: str = "prompt", kind: str = "string", tries: int = 1, most_errors: int | None = None) -> DataFrame:
-    """Rows (key, response, error) of an external call for each job; an exception becomes the row's error, not the job's end. A call is tried `tries` times; after `most_errors` failed rows a task makes no further calls, so a service that is down isn't asked on."""
+NOT_CALLED = "not called: too many failures before"
+
+
+def whole_json(response: str) -> None:
+    """A check for `called`: the response must hold a whole JSON object between its outermost braces, so that one cut short is asked for again."""
+    json.loads(response[response.index("{") : response.rindex("}") + 1])
+
+
+def called(jobs: DataFrame, factory: Callable, key: list[str], prompt: str = "prompt", kind: str = "string", tries: int = 1, most_errors: int | None = None, check: Callable[[str], object] | None = None) -> DataFrame:
+    """Rows (key, response, error) of an external call for each job; an exception, also one that `check` raises for the response, becomes the row's error, not the job's end. A call is tried `tries` times; after `most_errors` failed rows a task makes no further calls. It is a plan: each job that reads it calls again, so `stored` or `called_once` comes first."""
     kinds = dict(jobs.dtypes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,12 +89,15 @@ def called(jobs: DataFrame, factory: Callable, key: list[str], prompt: str = "pr
         for f in frames:
             answers, errors = [], []
             for p in f[prompt]:
-                answer, error = None, "not called: too many failures before"
+                answer, error = None, NOT_CALLED
                 for _ in range(tries if most_errors is None or failed < most_errors else 0):
                     try:
                         answer, error = call(p), None
+                        if check is not None:
+                            check(answer)
                         break
                     except Exception as e:  # noqa: BLE001  any failure of a service is a row's failure
+                        answer = None
                         error = f"{type(e).__name__}: {e}"
                 failed += error is not None
                 answers.append(answer)
@@ -99,13 +111,39 @@ class BudgetError(RuntimeError):
     pass
 
 
+#: Shares of the jobs after which errors and spending are looked at: a service that is down, or a budget too small, is seen after a hundredth.
+WAVES = (0.01, 0.1, 1.0)
+
+
+def called_once(jobs: DataFrame, factory: Callable, key: list[str], prompt: str = "prompt", most_errors: int | None = None, budget: float | None = None, price: float = 0.0, **options) -> DataFrame:
+    """`called`, stored, so that each job is called once however often the result is read. With `most_errors` or a `budget` (of `price` a character of prompts and responses) the jobs go in growing waves by a hash of their key: after `most_errors` failures the rest isn't called, and once the spending has reached the budget it is an error."""
+    if most_errors is None and budget is None:
+        return stored(called(jobs, factory, key, prompt, **options))
+    place = F.pmod(F.xxhash64(*key), F.lit(1000))
+    out, failed, spent, below = None, 0, 0.0, 0
+    for share in WAVES:
+        own = jobs.where((place >= below) & (place < int(1000 * share)))
+        below = int(1000 * share)
+        if budget is not None and spent >= budget and not own.isEmpty():
+            raise BudgetError(f"spent {spent:.2f} of {budget:.2f}")
+        if most_errors is not None and failed >= most_errors:
+            wave = called(own, factory, key, prompt, **options | {"most_errors": 0})
+        else:
+            wave = stored(called(own, factory, key, prompt, most_errors=most_errors, **options))
+            cost = F.sum(F.length(prompt) + F.coalesce(F.length("response"), F.lit(0)))
+            seen = wave.join(own.select(*key, prompt), key).agg(F.count_if(F.col("error").isNotNull()), cost).first()
+            failed, spent = failed + seen[0], spent + price * (seen[1] or 0)
+        out = wave if out is None else out.unionByName(wave)
+    return out
+
+
 def cached_calls(jobs: DataFrame, held: DataFrame, factory: Callable, prompt: str = "prompt", budget: float | None = None, price: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """(answers, fresh): jobs (id, prompt) answered from the cache (key, response) or by a call. The calls' estimated cost is checked before any is made."""
+    """(answers, fresh): jobs (id, prompt) answered from the cache (key, response) or by a call, made once. The prompts' cost is checked before any call is made, and what is spent while they are."""
     keyed = jobs.withColumn("key", X.request_hash(F.col(prompt)))
     todo = keyed.join(held.select("key"), "key", "left_anti").dropDuplicates(["key"])
     if budget is not None and (spend := (todo.agg(F.sum(F.length(prompt)) * price).first()[0] or 0)) > budget:
         raise BudgetError(f"the calls would cost {spend:.2f}, the budget is {budget:.2f}")
-    fresh = called(todo, factory, ["key"], prompt)
+    fresh = called_once(todo, factory, ["key"], prompt, budget=budget, price=price)
     every = held.select("key", "response").unionByName(fresh.where("error is null").select("key", "response"))
     found = cache.looked_up(keyed, every).join(fresh.select("key", "error"), "key", "left")
     return found.select("id", "key", "response", "error"), fresh
@@ -131,3 +169,22 @@ def literal_judge() -> Callable[[str], str]:
         return "verdict: " + json.dumps({"key_points": points, "temporal_error": False}, ensure_ascii=False)
 
     return judge
+
+
+def grounding_judge() -> Callable[[str], str]:
+    """Stands in for a judge of grounding: a sentence of the answer is supported if the context holds it. The prompt is JSON with `answer` and `context`."""
+
+    def judge(prompt: str) -> str:
+        p = json.loads(prompt)
+        flat = lambda s: re.sub(r"\s+|\[S\d+\]|[.!?]", "", s or "")
+        held = flat(p["context"])
+        claims = [s.strip() for s in re.split(r"(?<=[.!?])\s+", p["answer"] or "") if flat(s)]
+        return json.dumps({"claims": [{"index": i, "claim": c, "supported": flat(c) in held} for i, c in enumerate(claims, 1)]}, ensure_ascii=False)
+
+    return judge
+
+
+def split_rewriter(questions: DataFrame) -> DataFrame:
+    """Stands in for a rewriter: the clauses of a question of several as questions of their own (query_id, n, question)."""
+    parts = F.filter(F.split("question", r"[,;?]\s*"), lambda x: F.length(x) > 1)
+    return questions.select("query_id", F.posexplode(parts).alias("n", "question"))

@@ -93,9 +93,9 @@ def numbered(blocks: DataFrame) -> DataFrame:
 
 
 def with_status(blocks: DataFrame, nodes: DataFrame, as_of) -> DataFrame:
-    """Append status and status_notes: the worst over a block's articles in the graph (unknown without any), and all notes in order; a case has none."""
-    said = nodes.select("article_id", graph.status_at(as_of).alias("s"))
-    rows = blocks.where("via <> 'precedent'").select("query_id", "chunk_id", F.posexplode("article_ids").alias("i", "article_id")).join(said, "article_id")
+    """Append status and status_notes: the worst over a block's articles in the graph (unknown without any), and all notes in order; a case has none. `as_of` is a date, or a column of the blocks."""
+    rows = blocks.where("via <> 'precedent'").select("query_id", "chunk_id", as_of.alias("_as_of"), F.posexplode("article_ids").alias("i", "article_id"))
+    rows = rows.join(nodes.select("article_id", "in_current", "sunsets", "pending"), "article_id").withColumn("s", graph.status_at(F.col("_as_of")))
     worst = rows.groupBy("query_id", "chunk_id").agg(
         F.min(F.struct(graph.status_rank(F.col("s.status")).alias("r"), F.col("s.status").alias("v")))["v"].alias("status"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("s.notes").alias("n")))), lambda x: x["n"])).alias("status_notes"),

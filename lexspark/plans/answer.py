@@ -110,12 +110,8 @@ def blocks(questions: DataFrame, chunks: DataFrame, corpus, o: Options, case_vec
 
 def _dated(out: DataFrame, questions: DataFrame, corpus) -> DataFrame:
     """Status of each block at its own question's date."""
-    days = [r.as_of for r in questions.select("as_of").distinct().collect()]  # a batch has few dates
-    parts = [expand.with_status(out.join(questions.where(F.col("as_of") == d).select("query_id"), "query_id", "left_semi"), corpus.nodes, F.lit(d)) for d in days]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every
+    dated = out.join(questions.select("query_id", F.col("as_of").alias("_day")), "query_id")
+    return expand.with_status(dated, corpus.nodes, F.col("_day")).drop("_day")
 
 
 def _case_scores(questions: DataFrame, ids: DataFrame, out: DataFrame, corpus, o: Options) -> DataFrame:
@@ -154,14 +150,15 @@ def prompts(questions: DataFrame, numbered: DataFrame, o: Options) -> DataFrame:
 
 
 def answered(questions: DataFrame, numbered: DataFrame, o: Options, cases: DataFrame | None = None) -> DataFrame:
-    """(query_id, status, refusal_reason, citations, answer) for each question (query_id, question, as_of)."""
+    """(query_id, status, refusal_reason, citations, answer) for each question (query_id, question, as_of). Answers are stored before their citations are looked up, so both are of one call; a call that failed gives the status `error` and what failed as the reason."""
     hits = numbered.where("via = 'search'").select("query_id", "score")
     gated = R.gate(hits, questions, o.tau)
     through = questions.join(gated.where("not refused"), "query_id", "left_semi")
-    got = external.called(prompts(through, numbered, o), o.generator, ["query_id"])
-    done = citations.finalized(got.select("query_id", F.coalesce("response", F.lit("")).alias("answer")), numbered, cases)
+    got = external.called_once(prompts(through, numbered, o), o.generator, ["query_id"])
+    done = citations.finalized(got.where("error is null").select("query_id", F.coalesce("response", F.lit("")).alias("answer")), numbered, cases)
+    failed = got.where("error is not null").select("query_id", F.lit("error").alias("status"), F.col("error").alias("refusal_reason"))
     refused = gated.where("refused").select("query_id", F.lit("insufficient_context").alias("status"), F.lit("retrieval_below_tau").alias("refusal_reason"))
-    return done.unionByName(refused, allowMissingColumns=True)
+    return done.unionByName(refused, allowMissingColumns=True).unionByName(failed, allowMissingColumns=True)
 
 
 def has_pending(numbered: DataFrame) -> DataFrame:

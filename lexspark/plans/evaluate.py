@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.functions import external
 from lexspark.operators import metrics, stats
 
-#: metric -> the item field by which two runs are paired
-ITEM_FIELDS = {"M0_accuracy": "m0_correct", "M1_recall_any": "m1_recall_any", "M1_recall_all": "m1_recall_all", "M1_mrr": "m1_rr", "M3_citation_precision": "m3_citation_precision", "M3_citation_recall": "m3_citation_recall", "M4_kp_coverage": "m4_kp_coverage", "M4_complete": "m4_complete", "M5_unsupported_rate": "m5_unsupported_rate", "M6_temporal_error": "m6_temporal_error"}
+# Metric -> the item field by which two runs are paired
+ITEM_FIELDS = {"M0_accuracy": "m0_correct", "M1_recall_any": "m1_recall_any", "M1_recall_all": "m1_recall_all", "M1_mrr": "m1_rr", "M3_citation_precision": "m3_citation_precision", "M3_citation_recall": "m3_citation_recall", "M4_kp_coverage": "m4_kp_coverage", "M4_all_kp": "m4_all_kp", "M4_complete": "m4_complete", "M5_unsupported_rate": "m5_unsupported_rate", "M6_temporal_error": "m6_temporal_error"}
 
 
 def scores(gold: DataFrame, predictions: DataFrame, judgments: DataFrame, splits: DataFrame | None = None) -> DataFrame:
@@ -45,6 +48,19 @@ def official(scores_rows: DataFrame, verdicts: DataFrame, judges: list[str]) ->
     return scores_rows.join(agreed, "id", "left").withColumn("m0_official", F.coalesce("correct", F.col("m0_correct") & (F.col("status") != "answered"), F.lit(False))).drop("correct")
 
 
+def judged(answers: DataFrame, gold: DataFrame, contexts: DataFrame, key_points: Callable = external.literal_judge, grounding: Callable = external.grounding_judge, tries: int = 2) -> DataFrame:
+    """A row for each item (id, answer, status, error): its answer, the judgment of its key points and that of its grounding, each called once and asked again if its JSON was cut short. An item without an answer isn't judged; errors are recorded and end nothing."""
+    due = answers.where("status = 'answered'")
+    asked = lambda **p: F.to_json(F.struct(*[c.alias(k) for k, c in p.items()]))
+    points = due.join(gold.select("id", "key_points"), "id").select("id", asked(answer=F.col("answer"), key_points=F.col("key_points")).alias("prompt"))
+    claims = due.join(contexts.select("id", "context"), "id").select("id", asked(answer=F.col("answer"), context=F.col("context")).alias("prompt"))
+    out = answers
+    for name, jobs, judge in (("key_points", points, key_points), ("grounding", claims, grounding)):
+        got = external.called_once(jobs, judge, ["id"], tries=tries, check=external.whole_json)
+        out = out.join(got.select("id", F.col("response").alias(f"{name}_judgment"), F.col("error").alias(f"{name}_error")), "id", "left")
+    return out
+
+
 def judge_prompt(question: Column, articles: Column, limit: int = 1500) -> Column:
     """What a judge of training pairs is shown: the question and each article's first `limit` characters."""
     cut = F.transform(articles, lambda t: F.left(t, F.lit(limit)))

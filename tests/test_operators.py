@@ -271,6 +271,62 @@ def test_failing_service(spark):
     assert got.count("OSError: down") == 2 and sum(e.startswith("not called") for e in got) == 3
 
 
+def test_called_once(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def factory():
+        def call(p):
+            with open(log, "a") as f:
+                f.write("x")
+            return '{"a": 1}' if open(log).read().count("x") % 2 == 0 else '{"a": '  # cut short every other time
+
+        return call
+
+    jobs = spark.createDataFrame([(i, "p") for i in range(6)], "id bigint, prompt string").coalesce(1)
+    got = external.called_once(jobs, factory, ["id"], tries=2, check=external.whole_json)
+    assert [r.response for r in got.collect()] == ['{"a": 1}'] * 6 and got.where("error is null").count() == 6
+    assert len(open(log).read()) == 12
+    answers, fresh = external.cached_calls(jobs, spark.createDataFrame([], "key string, response string"), factory)
+    assert answers.count() == 6 and fresh.count() == 1 and len(open(log).read()) == 13
+
+    def down():
+        def call(p):
+            with open(log, "a") as f:
+                f.write("y")
+            raise OSError("down")
+
+        return call
+
+    many = spark.createDataFrame([(i, "p") for i in range(2000)], "id bigint, prompt string").repartition(8)
+    errors = [r.error for r in external.called_once(many, down, ["id"], most_errors=3).collect()]
+    assert len(errors) == 2000 and open(log).read().count("y") < 200 and errors.count(external.NOT_CALLED) > 1800
+    with pytest.raises(external.BudgetError):
+        external.called_once(many, lambda: str, ["id"], budget=100.0, price=1.0)
+
+
+def test_judgments(spark):
+    answers = spark.createDataFrame([(1, "answered", "The cap is 52 hours. It rained. [S1]", None), (2, "error", None, "down")], "id bigint, status string, answer string, error string")
+    gold = spark.createDataFrame([(1, ["52 hours", "overtime"]), (2, ["x"])], "id bigint, key_points array<string>")
+    contexts = spark.createDataFrame([(1, "Article 1. The cap is 52 hours."), (2, "")], "id bigint, context string")
+    rows = {r.id: r for r in evaluate.judged(answers, gold, contexts).collect()}
+    points = json.loads(rows[1].key_points_judgment.removeprefix("verdict: "))
+    assert [k["asserted"] for k in points["key_points"]] == [True, False]
+    assert [c["supported"] for c in json.loads(rows[1].grounding_judgment)["claims"]] == [True, False]
+    assert rows[2].key_points_judgment is None and rows[2].error == "down" and rows[2].grounding_error is None
+
+
+def test_bm25_counts_without_cutting(spark):
+    docs = spark.createDataFrame([(1, "aaa aa a b"), (2, "Straße a_b aaaa"), (3, ""), (4, None), (5, "한국 국한 a. x+y")], "doc_id bigint, text string")
+    few = spark.createDataFrame([(0, "aa a ab 한국 +"), (1, "b Stra")], "query_id bigint, query string")
+    got = sorted((r.query_id, r.doc_id, round(r.score, 9)) for r in retrieval.bm25(docs, few).collect())
+    old, retrieval.FEW_BIGRAMS = retrieval.FEW_BIGRAMS, 0
+    try:
+        want = sorted((r.query_id, r.doc_id, round(r.score, 9)) for r in retrieval.bm25(docs, few).collect())
+    finally:
+        retrieval.FEW_BIGRAMS = old
+    assert got == want and len(got) > 4
+
+
 def test_reports(spark):
     assert list(reports.events(iter("ab"), {"status": "x"}, refused=True)) == ['event: final\ndata: {"status": "x"}\n\n']
     assert len(list(reports.events(iter("ab"), {}))) == 3
