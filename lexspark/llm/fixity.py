@@ -5,13 +5,15 @@ its SHA-256. `FANOUT` consecutive leaves make a node, `FANOUT` nodes the next on
 root for each shard; the shards' roots make one more tree in order of shard. Two replicas
 are compared from the top; only the children of nodes that differ are looked at, so an
 audit of equal replicas reads two roots. Levels are small tables, and each step is a join
-on the node's key. `audited` gives a replica's records the places of the reference's
+on the node's key; where few shards differ, the leaves' scan is told which, and as leaves
+are written in order of shard, other row groups aren't read. `audited` gives a replica's records the places of the reference's
 records with their ids (`placed`), so a record lost or added shifts no other.
 
 Defined results: a null payload is an empty record; a record lost from a replica is
 `missing`, one that only the replica has `extra`, one with other bytes `corrupt`, one with
 the same bytes at another offset `moved`; records with equal payloads are told apart by
-their place; a null id sorts first; two empty replicas agree.
+their place; a null id sorts first; two empty replicas agree. Of other columns a manifest
+keeps those named in `keep`.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from lexspark.llm.common import pinned, written
 
 FANOUT = 16
 SHARD_RECORDS = 4096
+#: Shards up to which the scan of the leaves is told their numbers.
+FEW_SHARDS = 1000
 
 
 # --- the format ---------------------------------------------------------------------
@@ -88,7 +92,7 @@ def read_warc(spark, path: str) -> DataFrame:
 def manifest(records: DataFrame, key: str, uri: str, payload: str, shards: int, keep: list[str] | None = None) -> DataFrame:
     """Leaves: the columns of `keep`, shard, ordinal, offset, length, digest. Only digests and lengths are moved, never payloads."""
     rec = record(F.col(uri), F.col(payload), F.col(key))
-    own = records.select(*(keep or []), F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard"), F.col(key).alias("_k"), F.octet_length(rec).cast("bigint").alias("length"), F.sha2(rec, 256).alias("digest"))
+    own = records.select(*(keep or []), F.pmod(F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(0)), F.lit(shards)).alias("shard"), F.col(key).alias("_k"), F.octet_length(rec).cast("bigint").alias("length"), F.sha2(rec, 256).alias("digest"))
     order = Window.partitionBy("shard").orderBy(F.col("_k").asc_nulls_first(), "digest")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     return own.select("*", (F.row_number().over(order) - 1).cast("bigint").alias("ordinal"), F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")).drop("_k")
@@ -135,6 +139,10 @@ def audit(a: DataFrame, b: DataFrame, most: int, shards: int) -> tuple[DataFrame
                 level = level.join(wanted.select(F.col("idx").alias("shard")), "shard", "left_semi")
             else:
                 up = wanted.select("shard", F.col("idx").alias("up"))
+                if depth == len(levels) - 1:
+                    few = [r[0] for r in up.select("shard").distinct().limit(FEW_SHARDS + 1).collect()]
+                    if len(few) <= FEW_SHARDS:
+                        level = level.where(F.col("shard").isin(few))
                 level = level.withColumn("up", F.floor(F.col("idx") / FANOUT)).join(up, ["shard", "up"], "left_semi").drop("up")
         both = level.groupBy("shard", "idx").agg(F.max(F.when(F.col("replica") == "a", F.col("hash"))).alias("ha"), F.max(F.when(F.col("replica") == "b", F.col("hash"))).alias("hb"))
         both = pinned(both)
@@ -162,10 +170,15 @@ def placed(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return both.where("replica = 'b'").drop("replica")
 
 
+def _in_order(m: DataFrame) -> DataFrame:
+    """A manifest written in order of shard and place."""
+    return written(m.repartitionByRange("shard", "ordinal").sortWithinPartitions("shard", "ordinal"))
+
+
 def audited(a: DataFrame, b: DataFrame, shards: int, key: str) -> DataFrame:
     """Replica a's manifest with the status of each record (`ok` where the replicas agree), and b's `extra` records; both manifests have the column `key`, the record's id."""
-    a = written(a)
-    b = written(placed(a, b, key))
+    a = _in_order(a)
+    b = _in_order(placed(a, b, key))
     most = max((m.agg(F.max("ordinal")).first()[0] or 0) + 1 for m in (a, b))
     found, _ = audit(a, b, most, shards)
     found = pinned(found)
