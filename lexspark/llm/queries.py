@@ -47,14 +47,16 @@ def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as WARC records, against a replica in which some payloads have one byte changed; the audit must find just these."""
+    """The pages as WARC records, against a replica in which some payloads have one byte changed, some records are lost and some were added, by the CRC of the id; the audit must find just these. Added records have an id below 0 and no place in the reference, so no url."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     shards = fixity.shard_count(pages)
     a = fixity.manifest(pages, "page_id", "url", "html", shards, ["page_id", "url"])
     body = F.coalesce("html", F.lit(""))
-    fault = F.pmod(F.crc32(F.col("page_id").cast("string").cast("binary")), F.lit(97)) == 5
+    chosen = lambda n, r: F.coalesce(F.pmod(F.crc32(F.col("page_id").cast("string").cast("binary")), F.lit(n)) == r, F.lit(False))
     flipped = F.overlay(body, F.when(F.substring(body, 1, 1) == "#", "~").otherwise("#"), F.lit(1), F.lit(1))
-    b = fixity.manifest(pages.withColumn("html", F.when(fault & (F.length(body) > 0), flipped).otherwise(body)), "page_id", "url", "html", shards, ["page_id"])
+    copy = pages.where(~chosen(101, 7)).withColumn("html", F.when(chosen(97, 5) & (F.length(body) > 0), flipped).otherwise(body))
+    added = pages.where(chosen(103, 11)).withColumn("page_id", (-1 - F.col("page_id")).cast(pages.schema["page_id"].dataType))
+    b = fixity.manifest(copy.unionByName(added), "page_id", "url", "html", shards, ["page_id"])
     return fixity.audited(a, b, shards, "page_id").select("page_id", "url", "shard", "ordinal", "offset", "length", F.col("digest").alias("sha256"), "status")
 
 
@@ -75,12 +77,44 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return license.scan(docs, license.frequencies(docs)).drop("text")
+    return license.scan(docs, license.frequencies(docs)).drop("text").withColumn("score", F.round("score", 6))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_language, op3_near_duplicates, op4_main_text, op5_imatch, op6_fixity, op7_toxicity, op8_packing, op9_decontamination, op10_licenses)
 }
 
+def _sql_crc32(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    byte = "list_reduce(list_prepend(xor(h, v), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(({text})::varchar, ''), lambda ch: ascii(ch)::bigint)), lambda h, v: {byte}), 4294967295::bigint)"
+
+
+_CRLF = "chr(13) || chr(10)"
+_RECORD = f"""'WARC/1.0' || {_CRLF} || 'WARC-Type: resource' || {_CRLF} || 'WARC-Record-ID: <urn:record:' || page_id || '>' || {_CRLF} || 'WARC-Target-URI: ' || coalesce(url, '') || {_CRLF} || 'Content-Type: text/html' || {_CRLF} || 'Content-Length: ' || strlen(body) || {_CRLF} || {_CRLF} || body || {_CRLF} || {_CRLF}"""
+_FIXITY = f"""with n as (select greatest(1, count(*) // {fixity.SHARD_RECORDS}) shards from pages), p as (select page_id, url, coalesce(html, '') body, {_sql_crc32('page_id')} c from pages),
+    ra as (select page_id, url, c, strlen(body) size, {_RECORD} rec from p),
+    kept as (select page_id, url, body, c from p where c % 101 <> 7 union all select -1 - page_id, url, body, {_sql_crc32('-1 - page_id')} from p where c % 103 = 11),
+    rb as (select page_id, c, strlen({_RECORD}) length, sha256({_RECORD}) digest from kept),
+    a as (select page_id, url, c, size, c % shards shard, strlen(rec) length, sha256(rec) sha256 from ra, n),
+    am as (select *, row_number() over w - 1 ordinal, sum(length) over w - length "offset" from a window w as (partition by shard order by page_id, sha256 rows unbounded preceding)),
+    bm as (select rb.*, c % shards shard, sum(length) over (partition by c % shards order by page_id, digest rows unbounded preceding) - length "offset" from rb, n),
+    size as (select shard, count(*) records from a group by 1)
+    select page_id, url, shard::bigint shard, ordinal::bigint ordinal, "offset"::bigint "offset", length::bigint length, sha256, case when c % 101 = 7 then 'missing' when c % 97 = 5 and size > 0 then 'corrupt' else 'ok' end status from am
+    union all select page_id, null, shard::bigint, (coalesce(records, 0) + row_number() over (partition by shard order by page_id, digest) - 1)::bigint, "offset"::bigint, length::bigint, digest, 'extra' from bm left join size using (shard) where page_id < 0"""
+
+
+def _sql_list(xs) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+
+
+_TEMPLATES = ", ".join(f"({_sql_list(t.words)}, {_sql_list(t.key)}, {t.key_at}, '{t.label}', {str(t.base).lower()})" for t in license.templates())
+_LICENSES = f"""with t(words, key, key_at, label, base) as (values {_TEMPLATES}),
+    d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents),
+    k as (select doc_id, w, t.*, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = key[1] and w[i:i + len(key) - 1] = key)) - 1 - key_at start from d, t where list_has_all(w, key)),
+    h as (select doc_id, label, base, start, list_sum(list_transform(range(len(words)), lambda j: case when start + j >= 0 and w[start + j + 1] = words[j + 1] then 1.0 else 0.0 end))::double / len(words) share from k),
+    g as (select doc_id, count(*) filter (base) n_base, min(start) filter (base) first_word, max(start) filter (base) last_word, string_agg(distinct label, ',' order by label) filter (base) base_labels, string_agg(distinct label, ',' order by label) labels, max(share) score from h where base or share >= {license.LEAST_SHARE} group by 1)
+    select doc_id, len(w)::bigint n_words, coalesce(n_base, 0)::bigint n_base, first_word::bigint first_word, last_word::bigint last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, round(coalesce(score, 0.0), 6) score from d left join g using (doc_id)"""
+
 #: SQL for the queries that it can express over whole tables; the others are tested against brute force.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_fixity": _FIXITY, "op10_licenses": _LICENSES}

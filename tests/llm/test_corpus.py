@@ -281,6 +281,12 @@ def test_licences_against_brute_force(spark):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     by = {r.doc_id: r for r in rows}
     assert by[9].labels == "mit" and by[9].n_base == 0 and by[13].labels == "bsd" and by[0].score == 1.0
+    odd = spark.createDataFrame([(1, "All rights reserved. MIT License", 1, 2)], "doc_id bigint, text string, _w int, _found int")
+    one = license.scan(odd, {})
+    assert one.columns[:4] == odd.columns and one.first().labels == "mit"  # three words alone are no notice
+    more = license.SENTENCES[1][0].replace("this list", "THE LIST,").replace("disclaimer", "x")
+    half = spark.createDataFrame([(1, more), (2, "source code must retain the above copyright notice")], "doc_id bigint, text string")
+    assert {r.doc_id: (r.labels, round(r.score, 3)) for r in license.scan(half, {}).collect()} == {1: ("bsd", 0.889), 2: ("", 0.0)}
     assert license.scan(docs.limit(0), {}).count() == 0 and license.frequencies(docs.limit(0))["mit"] == 0
 
 
@@ -338,12 +344,30 @@ def test_fixity_query(spark):
 
     rows = queries.op6_fixity(spark, SF).collect()
     pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
-    assert len(rows) == len(pages)
+    crc = {i: zlib.crc32(str(i).encode()) for i in pages}
+    added = {-1 - i for i in pages if crc[i] % 103 == 11}
+    assert sorted(r.page_id for r in rows) == sorted([*pages, *added])
     for r in rows:
-        body = pages[r.page_id].html
-        rec = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:record:{r.page_id}>\r\nWARC-Target-URI: {r.url}\r\nContent-Type: text/html\r\nContent-Length: {len(body.encode())}\r\n\r\n{body}\r\n\r\n".encode()
+        own = pages[r.page_id if r.page_id >= 0 else -1 - r.page_id]
+        rec = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:record:{r.page_id}>\r\nWARC-Target-URI: {own.url}\r\nContent-Type: text/html\r\nContent-Length: {len(own.html.encode())}\r\n\r\n{own.html}\r\n\r\n".encode()
         assert r.sha256 == hashlib.sha256(rec).hexdigest() and r.length == len(rec)
-        assert r.status == ("corrupt" if zlib.crc32(str(r.page_id).encode()) % 97 == 5 else "ok")
+        assert r.status == ("extra" if r.page_id < 0 else "missing" if crc[r.page_id] % 101 == 7 else "corrupt" if crc[r.page_id] % 97 == 5 else "ok")
+    assert {r.status for r in rows} >= {"ok", "corrupt"}
+
+
+@needs_tables
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    found = c.execute(queries.ORACLE[name])
+    names = [d[0] for d in found.description]
+    df = queries.QUERIES[name](spark, SF)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(map(str, (tuple(r) for r in df.select(*names).collect()))) == sorted(map(str, found.fetchall()))
 
 
 # --- packing ------------------------------------------------------------------------
