@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexspark.queries import data, graph, metrics, retrieval, text
+from lexspark.queries import data, graph, library, metrics, retrieval, text
 from lexspark.queries.registry import ORACLE, QUERIES
 
 __all__ = ["MODULES", "ORACLE", "QUERIES"]
 
-MODULES = (data, graph, metrics, retrieval, text)
+MODULES = (data, graph, library, metrics, retrieval, text)

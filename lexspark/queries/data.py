@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexspark.functions import text as X
 from lexspark.operators import sampling
 from lexspark.queries.registry import load, query
-from lexspark.sources import cache
+from lexspark.sources import cache, rest
 
 
 @query("select c_custkey from customer except select o_custkey from orders")
@@ -102,9 +102,8 @@ def dedup_first_wins(spark, sf_dir):
 def capped_smallest_first(spark, sf_dir):
     """The smallest group first, its newest first, what is held left out, up to the cap (the operator's own)."""
     d = load(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    n = d.groupBy("source").agg(F.count("*").alias("n"))
-    fresh = d.join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").join(n, "source")
-    return fresh.orderBy("n", "source", F.desc("n_chars"), "doc_id").limit(100).select("doc_id", "source")
+    held = load(spark, sf_dir, "labels").select("doc_id")
+    return rest.bulk_order(d, held, held.count() + 100, "source", "doc_id", "n_chars").select("doc_id", "source")
 
 
 @query("select page_id, case when t <> '' then t else substr(html, 1, 40) end title, t = '' fallback from (select page_id, html, trim(regexp_extract(html, '(?s)<h2[^>]*>(.*?)</h2>', 1)) t from pages)")
