@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.functions import external
 from lexspark.functions import statute as S
 from lexspark.functions import text as X
 from lexspark.operators import citations, expand, graph, metrics
 from lexspark.plans import answer
 from lexspark.queries.registry import load, query
-from lexspark.sources import rest, xml
+from lexspark.sources import index, rest, xml
+from lexspark.tables import shared_dir
 
 
 def _said(*parts) -> Column:
@@ -232,6 +235,115 @@ def reverse_blocks(spark, sf_dir):
     return found.select("query_id", "chunk_id", "pos", F.array_join(F.array_sort("referenced"), ",").alias("targets"))
 
 
+@query(
+    f"""with {HITS}, p as (select distinct q, a, rank, unnest([a % 4, a % 6]) p from h), g as (select q, p, string_agg('a' || a, ',' order by rank) referenced from p group by all)
+    select q query_id, 'p' || p id, round(((q * 7 + p * 3) % 10) / 10, 6) score, (row_number() over (partition by q order by (q * 7 + p * 3) % 10 desc, p))::int rank, referenced from g"""
+)
+def linked_case_ranks(spark, sf_dir):
+    """The cases that the hits' articles link to, by score, each with the articles that link it."""
+    hits, chunks, texts = _hits(spark, sf_dir)
+    ids = load(spark, sf_dir, "conversations").select("conv_id").distinct()
+    c = F.col("conv_id")
+    nodes = ids.select(_said("a", c).alias("article_id"), F.array(_said("p", c % 4), _said("p", c % 6)).alias("precedents"))
+    scores = ids.select(c.alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("p")).select("query_id", _said("p", F.col("p")).alias("id"), (((F.col("query_id") * 7 + F.col("p") * 3) % 10) / 10).alias("score"))
+    found = expand.linked_cases(expand.hit_blocks(hits, chunks), nodes, scores)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank", F.array_join("referenced", ",").alias("referenced"))
+
+
+GRAMS = "list_distinct(list_transform(range(1, greatest(length({c}), 1)), lambda i: substr({c}, i, 2)))"
+
+
+@query(f"with p as (select u.conv_id, u.turn, u.text q, a.text t from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1) select conv_id, turn, len(list_intersect({GRAMS.format(c='q')}, {GRAMS.format(c='t')}))::double rescore from p")
+def pair_rescores(spark, sf_dir):
+    """A second score of question and text, by the stand-in for a cross encoder."""
+    c = load(spark, sf_dir, "conversations")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("t"))
+    return external.rescored(c.join(after, ["conv_id", "turn"]), "text", "t", external.overlap_reranker).select("conv_id", "turn", "rescore")
+
+
+# --- the graph, indexes and calls ----------------------------------------------------
+
+NODES = """i as (select p_partkey n, p_partkey % 5 <> 0 cur, p_partkey % 7 law from part where p_partkey % 5 <> 0 or p_partkey % 10 = 0),
+    kids as (select p_partkey // 2 n, string_agg('#' || p_partkey, ',' order by '#' || p_partkey) kids from part group by 1), back as (select p_partkey % 13 n, count(*) referenced_by from part where p_partkey > 13 group by 1),
+    w as (select i.*, case when n % 10 = 0 then 2 else 0 end pending, (n % 11 = 0)::int sunsets, '#' || n // 2 parents, coalesce(kids, '') implementing, (n > 13)::int refs, ['exception', 'mutatis', 'plain'][n % 3 + 1] cue, coalesce(referenced_by, 0) referenced_by from i left join kids using (n) left join back using (n))"""
+
+
+def _nodes(spark, sf_dir) -> DataFrame:
+    """A part is an article; its half is its parent, its number's rest by 13 is what it refers to."""
+    n = F.col("p_partkey")
+    p = load(spark, sf_dir, "part").select("p_partkey")
+    me = _said("#", n)
+    text = F.lit("x")
+    none = F.array().cast("array<string>")
+    current = p.where(n % 5 != 0).select(me.alias("article_id"), _said("Act ", n % 7).alias("law"), F.lit("법률").alias("level"), _said("제", n, "조").alias("label"))
+    pending = p.where(n % 10 == 0).select(me.alias("article_id"), text.alias("kind"), text.alias("effective"), text.alias("promulgated"), text.alias("promulgation_no"), none.alias("changed_paragraphs"), none.alias("changed_detail"), text.alias("new_text"), F.explode(F.array(F.lit(2), F.lit(1))).alias("version"))
+    expiry = p.where(n % 11 == 0).select(me.alias("article_id"), none.alias("paragraphs"), text.alias("until"), F.lit(False).alias("partial"), text.alias("source"), text.alias("clause"), text.alias("promulgated"), F.lit(0).alias("pos"))
+    delegated = p.select(me.alias("src"), _said("#", F.floor(n / 2)).alias("dst"), F.lit(0).alias("pos"))
+    referred = p.where(n > 13).select(me.alias("src"), _said("#", n % 13).alias("dst"), _one_of(n % 3, "exception", "mutatis", "plain").alias("cue"))
+    linked = p.select(F.explode(F.array(_said("case ", n % 50), _said("case ", n % 3))).alias("id"), me.alias("article_id")).distinct()
+    cases = spark.range(50).select(_said("case ", F.col("id")).alias("id"), _said("20", F.col("id") + 10).alias("decided"))
+    return graph.nodes_wide(current, pending, expiry, delegated, referred, linked, cases)
+
+
+@query(f"with {NODES} select '#' || n article_id, case when cur then 'Act ' || law else '' end law, case when cur then '제' || n || '조' end label, cur in_current, pending, sunsets, parents, implementing, case when refs = 1 then '#' || n % 13 || ':' || cue else '' end refs, referenced_by, case when n % 50 > n % 3 then 'case ' || n % 50 || ',case ' || n % 3 when n % 50 < n % 3 then 'case ' || n % 3 || ',case ' || n % 50 else 'case ' || n % 3 end precedents from w")
+def graph_nodes(spark, sf_dir):
+    """The nodes of the provision graph, of articles in force or to come, with all their edges nested."""
+    w = _nodes(spark, sf_dir)
+    cues = F.array_join(F.transform(F.map_entries("reference_cues"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",")
+    joined = lambda c: F.array_join(c, ",").alias({"parent_provisions": "parents", "implementing_provisions": "implementing"}.get(c, c))
+    law = F.when(F.col("in_current"), F.col("law")).otherwise("")
+    return w.select("article_id", law.alias("law"), "label", "in_current", F.size("pending").alias("pending"), F.size("sunsets").alias("sunsets"), joined("parent_provisions"), joined("implementing_provisions"), cues.alias("refs"), F.size("referenced_by").alias("referenced_by"), joined("precedents"))
+
+
+@query(f"with {NODES} select count(*) nodes, count(*) filter (pending > 0) with_pending, count(*) filter (sunsets > 0) with_sunsets, count(*) with_parent, sum(refs)::bigint edges, count(*) filter (refs = 1 and cue = 'exception') exception, count(*) filter (refs = 1 and cue = 'mutatis') mutatis, count(*) filter (refs = 1 and cue = 'plain') plain, count(*) filter (refs = 1) with_references, count(*) with_precedents from w")
+def graph_node_stats(spark, sf_dir):
+    """Counts over the nodes."""
+    return graph.graph_stats(_nodes(spark, sf_dir))
+
+
+@query("select o_orderkey id, array_to_string(list_filter(range(0, o_orderkey % 20 + 1), lambda i: i % 3 = o_custkey % 3)::varchar[], ',') places from orders")
+def changed_paragraphs(spark, sf_dir):
+    """the places of a new version's paragraphs that an alignment with the old one finds changed."""
+    n = (F.col("o_orderkey") % 20).cast("int")
+    old = F.transform(F.sequence(F.lit(0), n), lambda i: _said("l", i))
+    new = F.transform(F.sequence(F.lit(0), n), lambda i: F.when(i % 3 == F.col("o_custkey") % 3, _said("x", i)).otherwise(_said("l", i)))
+    rows = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), S.changed(old, new).alias("at"))
+    return rows.select("id", F.array_join(F.transform("at", lambda x: x.cast("string")), ",").alias("places"))
+
+
+@query("select vec_id, label, 'whole' index_name, 'hash' model, 'query: ' query_prefix from embeddings where label % 2 = 0")
+def index_scan(spark, sf_dir):
+    """Two indexes are written, each to a folder of its own, and one is read with its model and query prefix."""
+    path = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    e = load(spark, sf_dir, "embeddings").select("vec_id", "label")
+    index.write(e.where("label % 2 = 0"), path, "whole", "hash", "query: ")
+    index.write(e.where("label % 2 = 1"), path, "cases", "hash")
+    return index.read(spark, path, "whole").select("vec_id", "label", "index_name", "model", "query_prefix")
+
+
+def _counting():
+    def call(prompt: str) -> str:
+        if len(prompt) % 3 == 0:
+            raise ValueError("refused")
+        return str(len(prompt))
+
+    return call
+
+
+@query("select item_id, case when length(text) % 3 <> 0 then length(text)::varchar end response, case when length(text) % 3 = 0 then 'ValueError: refused' end error from benchmark")
+def calls_with_errors(spark, sf_dir):
+    """A call for each item, its failure a row's error."""
+    return external.called_once(load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("prompt")), _counting, ["item_id"], tries=2)
+
+
+@query("with p as (select item_id id, md5(text) p from benchmark) select id, case when p in (select p from p where id % 2 = 0) then 'held' else '32' end response, null::varchar error from p")
+def calls_over_cache(spark, sf_dir):
+    """What the cache holds isn't called again; equal requests are one call."""
+    jobs = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.md5("text").alias("prompt"))
+    held = jobs.where("id % 2 = 0").select(X.request_hash(F.col("prompt")).alias("key"), F.lit("held").alias("response")).distinct()
+    return external.cached_calls(jobs, held, _counting)[0].select("id", "response", "error")
+
+
 # --- scores --------------------------------------------------------------------------
 
 SCORED = """l as (select l_orderkey id, list(distinct 'p' || l_partkey % 7) every, coalesce(list(distinct 'p' || l_partkey % 7) filter (l_returnflag <> 'R'), []) searched, coalesce(list(distinct 'p' || l_partkey % 7) filter (l_linestatus = 'O'), []) cited,

@@ -197,16 +197,16 @@ def gained_lost(spark, sf_dir):
 
 
 BOOT = """, d as (select row_number() over (order by id) - 1 k, delta from p), n as (select count(*) n from d),
-    m as (select b, avg(d.delta) m from range(200) t(b), range(1000000) u(k), n, d where u.k < n.n and d.k = concat('0x', substring(md5(concat(t.b, ':', u.k)), 1, 8))::bigint % n.n group by 1),
+    m as (select b, avg(d.delta) m from range(2000) t(b), range(1000000) u(k), n, d where u.k < n.n and d.k = concat('0x', substring(md5(concat(t.b, ':', u.k)), 1, 8))::bigint % n.n group by 1),
     s as (select m, row_number() over (order by m) - 1 r from m),
-    ci as (select (select n from n)::int n, round(max(m) filter (r = 5), 6) lo, round(max(m) filter (r = 195), 6) hi from s)"""
+    ci as (select (select n from n)::int n, round(max(m) filter (r = 50), 6) lo, round(max(m) filter (r = 1950), 6) hi from s)"""
 BOOT = BOOT.replace("range(1000000) u(k), n, d where u.k < n.n and", "(select unnest(range((select n from n))) k) u, n, d where")
 
 
 @query(f"with {PAIRS}{BOOT} select n, lo, hi from ci")
 def paired_bootstrap(spark, sf_dir):
-    """200 resamples drawn by md5; `stats.seeded_bootstrap` repeats the published index rules."""
-    b = S.hash_bootstrap(_pairs(spark, sf_dir), 200)
+    """2000 resamples drawn by md5; `stats.seeded_bootstrap` repeats the published index rules."""
+    b = S.hash_bootstrap(_pairs(spark, sf_dir), 2000)
     return b.select("n", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
@@ -218,7 +218,7 @@ def verdict(spark, sf_dir):
     """K03, K04, R07."""
     p = _pairs(spark, sf_dir)
     noise = _items(spark, sf_dir).where("run < 4").groupBy("run").agg(F.avg("v").alias("m")).agg((F.max("m") - F.min("m")).alias("noise"))
-    row = p.agg(F.avg("delta").alias("delta")).join(noise, F.lit(True)).join(S.hash_bootstrap(p, 200), F.lit(True))
+    row = p.agg(F.avg("delta").alias("delta")).join(noise, F.lit(True)).join(S.hash_bootstrap(p, 2000), F.lit(True))
     return row.select(F.round("delta", 6).alias("delta"), F.round("noise", 6).alias("noise"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), S.verdict(F.col("delta"), F.col("noise"), F.col("lo"), F.col("hi"), needs_interval=True).alias("verdict"))
 
 
@@ -231,7 +231,7 @@ def multirun_compare(spark, sf_dir):
     i = _items(spark, sf_dir)
     side = lambda runs: S.item_means(i.where(F.col("run").isin(runs)), ["v"], strict=2)
     p = S.paired(side([0, 1]), side([2, 3]), "v")
-    m = p.agg(F.avg("a").alias("base"), F.avg("b").alias("exp"), F.avg("delta").alias("delta")).join(S.hash_bootstrap(p, 200), F.lit(True))
+    m = p.agg(F.avg("a").alias("base"), F.avg("b").alias("exp"), F.avg("delta").alias("delta")).join(S.hash_bootstrap(p, 2000), F.lit(True))
     r = lambda c: F.round(c, 6).alias(c)
     return m.select("n", r("base"), r("exp"), r("delta"), r("lo"), r("hi"), ((F.col("lo") > 0) & (F.col("delta") > S.NOISE_M0)).alias("significant"))
 
@@ -240,7 +240,7 @@ def multirun_compare(spark, sf_dir):
 def mde(spark, sf_dir):
     """K06, over one pair of runs."""
     means = _items(spark, sf_dir).where("run < 4").groupBy("run").agg(F.avg("v").alias("value"), F.count("v").alias("n"))
-    half = S.hash_bootstrap(_pairs(spark, sf_dir), 200)
+    half = S.hash_bootstrap(_pairs(spark, sf_dir), 2000)
     m = S.minimal_effect(means, half).drop("n").join(half.select("n"), F.lit(True))
     return m.select("n", F.round("range", 6).alias("range"), F.round("half", 5).alias("half"), F.round("mde", 5).alias("mde"))
 

@@ -54,12 +54,11 @@ def bigram_tokens(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", X.bigrams("text").alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), F.coalesce(F.get("t", F.lit(0)), F.lit("")).alias("first_token"))
 
 
-@query("with e as (select vec_id, embedding::double[] v from embeddings), s as (select vec_id, round(list_inner_product(v, (select v from e where vec_id = 0)), 6) score from e) select row_number() over (order by score desc, vec_id)::int rank, vec_id, score from s order by score desc, vec_id limit 10")
+@query(f"with {E}, r as (select query_id, vec_id, list_inner_product(v, qv) score, row_number() over (partition by query_id order by list_inner_product(v, qv) desc, vec_id) rank from e, q) select query_id, rank::int rank, vec_id, round(score, 6) score from r where rank <= 10")
 def dense_topk(spark, sf_dir):
-    """T01, S16, P21, W02."""
+    """The stated queries against all vectors."""
     e = _vectors(spark, sf_dir)
-    q = e.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return R.scored(e, q, 10, skip_self=False).select("rank", "vec_id", F.round("score", 6).alias("score"))
+    return R.scored(e, _queries(e), 10, skip_self=False).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -90,18 +89,18 @@ def rrf_hybrid(spark, sf_dir):
 
 
 @query(
-    """with e as (select vec_id, embedding::double[] v from embeddings), q as (select vec_id query_id, v qv from e where vec_id in (0, 1, 2)),
-    r as (select query_id, vec_id, row_number() over (partition by query_id order by list_inner_product(v, qv) desc, vec_id) rank from e, q),
-    f as (select vec_id, sum(1.0::double / (60 + rank)) fused from r where rank <= 30 group by 1)
-    select row_number() over (order by round(fused, 12) desc, vec_id)::int rank, vec_id, round(fused, 6) fused from f order by round(fused, 12) desc, vec_id limit 10"""
+    """with e as (select vec_id, embedding::double[] v from embeddings), q as (select vec_id n, v qv from e where vec_id % 50 < 3),
+    r as (select n, vec_id, row_number() over (partition by n order by list_inner_product(v, qv) desc, vec_id) rank from e, q),
+    f as (select n - n % 50 query_id, vec_id, sum(1.0::double / (60 + rank)) fused from r where rank <= 30 group by 1, 2),
+    k as (select *, row_number() over (partition by query_id order by round(fused, 12) desc, vec_id) rank from f) select query_id, rank::int rank, vec_id, round(fused, 6) fused from k where rank <= 10"""
 )
 def multi_query_rrf(spark, sf_dir):
-    """equal weights over three rankings."""
+    """equal weights over the rankings of each stated query and its two rewrites, the vectors after it."""
     e = _vectors(spark, sf_dir)
-    q = e.where("vec_id in (0, 1, 2)").select(F.col("vec_id").alias("query_id"), "embedding")
-    ranked = R.scored(e, q, 30, skip_self=False)
-    fused = R.rrf([(ranked.withColumn("query_id", F.lit(0)), 1.0)], doc_id="vec_id")
-    return R.top_k(fused, 10, ["query_id"], [F.desc(F.round("fused", 12)), F.asc("vec_id")]).select("rank", "vec_id", F.round("fused", 6).alias("fused"))
+    asked = e.where("vec_id % 50 < 3").select(F.col("vec_id").alias("query_id"), "embedding")
+    ranked = R.scored(e, asked, 30, skip_self=False).withColumn("query_id", F.col("query_id") - F.col("query_id") % 50)
+    fused = R.rrf([(ranked, 1.0)], doc_id="vec_id")
+    return R.top_k(fused, 10, ["query_id"], [F.desc(F.round("fused", 12)), F.asc("vec_id")]).select("query_id", "rank", "vec_id", F.round("fused", 6).alias("fused"))
 
 
 @query(f"with {SCORED} select query_id, round(max(score), 6) best, max(score) < 0.5 refused from s group by 1")
@@ -139,11 +138,11 @@ def linked_rank(spark, sf_dir):
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "n_links", "rank")
 
 
-@query(f"with {SCORED} select query_id, string_agg(vec_id::varchar, ',' order by score desc, vec_id) nearest from (select *, row_number() over (partition by query_id order by score desc, vec_id) k from s where vec_id % 2 = 0) where k <= 3 group by 1")
+@query(f"with {SCORED} select query_id, string_agg(vec_id::varchar, ',' order by score desc, vec_id) nearest from (select *, row_number() over (partition by query_id order by score desc, vec_id) k from s) where k <= 3 group by 1")
 def fewshot_nn(spark, sf_dir):
-    """The store is a part of the vectors; a query never gets itself."""
+    """The store is all vectors; a query never gets itself."""
     e = _vectors(spark, sf_dir)
-    hits = R.scored(e.where("vec_id % 2 = 0"), _queries(e), 3)
+    hits = R.scored(e, _queries(e), 3)
     return hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"].cast("string")), ",").alias("nearest"))
 
 
