@@ -13,9 +13,9 @@ from lexspark.functions import external
 from lexspark.functions import statute as S
 from lexspark.functions import text as X
 from lexspark.operators import citations, expand, graph, metrics
-from lexspark.plans import answer
+from lexspark.plans import answer, evaluate
 from lexspark.queries.registry import load, query
-from lexspark.sources import index, rest, xml
+from lexspark.sources import index, jsonl, reports, rest, xml
 from lexspark.tables import shared_dir
 
 
@@ -418,6 +418,29 @@ def score_failing(spark, sf_dir):
     return metrics.failing(_item_scores(spark, sf_dir)).select("id", "level")
 
 
+@query(f"with {SCORED} select id::varchar id, case when id % 2 = 0 then 'even' else 'odd' end run, status, m0_correct, round(m1_rr, 6) m1_rr, latency_ms from s")
+def run_files(spark, sf_dir):
+    """Score records are written as JSON lines, a folder for each run, and read again."""
+    path = f"{shared_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    s = _item_scores(spark, sf_dir)
+    jsonl.write_runs(s.withColumn("run", F.when(F.col("id") % 2 == 0, "even").otherwise("odd")).withColumn("id", F.col("id").cast("string")), "scores", path)
+    return jsonl.read_runs(spark, "scores", f"{path}/scores/*").select("id", "run", "status", "m0_correct", F.round("m1_rr", 6).alias("m1_rr"), "latency_ms")
+
+
+@query("select conv_id, md5('[질문]' || chr(10) || 'Q' || conv_id || chr(10) || chr(10) || '[조문]' || chr(10) || string_agg(substr(text, 1, 1500), chr(10) || chr(10) order by turn)) digest from conversations group by 1")
+def judge_prompts(spark, sf_dir):
+    """What a judge is shown, each article up to the operator's limit."""
+    c = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("ts"))
+    return c.select("conv_id", F.md5(evaluate.judge_prompt(_said("Q", F.col("conv_id")), F.col("ts"))).alias("digest"))
+
+
+@query("""select conv_id, '[' || string_agg('{"turn":' || turn || ',"role":"' || role || '","mark":"<\\/' || role || '>"}', ',' order by turn) || ']' payload from conversations group by 1""")
+def review_payloads(spark, sf_dir):
+    """Rows as JSON that may stand inside a script element."""
+    c = load(spark, sf_dir, "conversations").withColumn("mark", _said("</", F.col("role"), ">"))
+    return c.groupBy("conv_id").agg(reports.payload("turn", "role", "mark").alias("payload"))
+
+
 # --- parsers -------------------------------------------------------------------------
 
 

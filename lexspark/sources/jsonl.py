@@ -15,9 +15,9 @@ def read(spark: SparkSession, kind: str, path: str | list[str]) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, kind: str, path: str | list[str]) -> DataFrame:
-    """Artefacts of several runs; the run is the name of the file's folder."""
+    """Artefacts of several runs; the run is the name of the file's folder, also of one that `write_runs` made."""
     rows = spark.read.schema(KINDS[kind]).json(path)
-    return rows.withColumn("run", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    return rows.withColumn("run", F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -2), "^run(=|%3D)", ""))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
