@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import hashed_share, held_out, mix, with_struct, word_hashes, written
+from lexspark.llm.common import borrowed, hashed_share, held_out, mix, with_struct, word_hashes
 
 FIELDS = ["score", "text_score", "metadata_score", "accepted"]
 N_TEXT, N_META = 256 + 14, 64 + 16 + 18
@@ -191,7 +191,8 @@ def asked_of(rows: DataFrame) -> Callable[[Question], list[tuple[int, int, int,
 
         found = rows.select("rid", "t", "m").mapInArrow(run, "view int, kind int, confidence double, rid bigint").distinct()
         place = F.row_number().over(Window.partitionBy("view", "kind").orderBy(F.desc("confidence"), "rid"))
-        best = found.withColumn("place", place).where(F.col("place") <= F.when(F.col("kind") == 0, q.quota[0]).otherwise(q.quota[1])).collect()
+        # the bound that holds for both kinds is a literal, so Spark ranks within each partition before the shuffle
+        best = found.withColumn("place", place).where((F.col("place") <= max(q.quota)) & (F.col("place") <= F.when(F.col("kind") == 0, q.quota[0]).otherwise(q.quota[1]))).collect()
         if not best:
             return []
         wanted = sorted({r.rid for r in best})
@@ -215,7 +216,7 @@ def _columns(docs: DataFrame, names: tuple[str, str, str]):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", metadata: tuple[str, str, str] = ("source", "lang", "n_chars"), max_labelled: int = 6000, **options) -> QualityModel:
-    """Fit on about `max_labelled` labelled documents, chosen by a hash of the id, and on all unlabelled ones, which are written once as vectors; held-out ids are left out."""
+    """Fit on about `max_labelled` labelled documents, chosen by a hash of the id, and on all unlabelled ones, which are written once as vectors and removed at the end; held-out ids are left out."""
 
     @F.arrow_udf("struct<t: binary, m: binary>")
     def views(text: pa.Array, source: pa.Array, lang: pa.Array, n: pa.Array) -> pa.Array:
@@ -227,10 +228,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     share = min(1.0, max_labelled / max(1, known.count()))
     own = docs.where(F.col(key).isNotNull() & ~held_out(F.col(key)))
     own = own.select(F.col(key).alias("key"), views(F.col(text), *_columns(docs, metadata)).alias("v")).select("key", "v.*")
-    rows = written(own.join(known, "key", "left").select("key", "y", F.xxhash64("t", "m").alias("rid"), "t", "m"))
-    have = rows.where(F.col("y").isNotNull() & hashed_share(F.col("key"), share)).select("y", "rid", "t", "m").collect()
-    have.sort(key=lambda r: (zlib.crc32(r.t + r.m), r.y))
-    return co_train(_matrix([r.t for r in have], "t"), _matrix([r.m for r in have], "m"), np.array([r.y for r in have], float), asked_of(rows.where(F.col("y").isNull())), **options)
+    with borrowed(own.join(known, "key", "left").select("key", "y", F.xxhash64("t", "m").alias("rid"), "t", "m")) as rows:
+        have = rows.where(F.col("y").isNotNull() & hashed_share(F.col("key"), share)).select("y", "rid", "t", "m").collect()
+        have.sort(key=lambda r: (zlib.crc32(r.t + r.m), r.y))
+        return co_train(_matrix([r.t for r in have], "t"), _matrix([r.m for r in have], "m"), np.array([r.y for r in have], float), asked_of(rows.where(F.col("y").isNull())), **options)
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", metadata: tuple[str, str, str] = ("source", "lang", "n_chars")) -> DataFrame:
