@@ -50,7 +50,7 @@ BOILER = frozenset(
 )
 ARTICLE = frozenset("article main content post entry story text body".split())
 
-N_PATH, N_WORD, N_FIGURE = 192, 32, 10
+N_PATH, N_WORD, N_FIGURE = 512, 64, 10
 DIM = N_PATH + N_WORD + N_FIGURE
 
 
@@ -286,7 +286,7 @@ class BlockModel:
         g2 = _lstm_back(xr, kr, _reverse(dh[:, :, size:], lengths), w2, u2)
         return [*g1, *g2, np.tensordot(d, both, ((0, 1), (0, 1))), np.array([d.sum()])]
 
-    def label(self, pages: list[np.ndarray], steps: int = 40_000) -> list[np.ndarray]:
+    def label(self, pages: list[np.ndarray], steps: int = 16_000) -> list[np.ndarray]:
         """A probability for each block of each page; pages of like length run together."""
         out: list[np.ndarray] = [np.empty(0)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
@@ -316,89 +316,122 @@ def teacher(b: Block) -> int:
     return int(len(b.text) >= 60)
 
 
+#: Words that names of parts are joined with, and that say nothing of the part.
+NEUTRAL = tuple("area thread box list wrap wrapper container section block item inner col left right page site".split())
+
+
 def generated(words: list[str], rng) -> tuple[list[Block], list[int]]:
-    """A page of a random layout from the given words, with its labels."""
+    """A page of a random layout from the given words, with its labels: with or without telling names, in boxes, cells of a table or none at all, its paragraphs in any element, its comments few or many."""
     pick = lambda n: " ".join(words[int(i)] for i in rng.integers(0, len(words), n))
     noise = lambda: "".join(chr(97 + int(i)) for i in rng.integers(0, 26, 6))
-    named = rng.random() < 0.75
+    one = lambda *xs: xs[int(rng.integers(len(xs)))]
+    named = rng.random() < 0.65
+    div = "<td" if rng.random() < 0.12 else "<div"
 
     def cls(*names: str) -> tuple[str, ...]:
-        return (names[int(rng.integers(len(names)))],) if rng.random() < (0.95 if named else 0.35) else (noise(),) if rng.random() < 0.5 else ()
+        if rng.random() >= (0.95 if named else 0.35):
+            return (noise(),) if rng.random() < 0.7 else ()
+        k = rng.random()
+        return (one(*names),) if k < 0.65 else (one(*names), one(*NEUTRAL)) if k < 0.9 else (one(*NEUTRAL), one(*names))
 
     def sentence(n: int) -> str:
         return pick(n).capitalize() + "."
 
     blocks: list[Block] = []
     labels: list[int] = []
-    top = ("<html", "<body", *(("<div", noise()) if rng.random() < 0.4 else ()))
+    top = ("<html", "<body", *(("<div", one(noise(), *NEUTRAL)) if rng.random() < 0.4 else ()), *(("<table", "<tr") if div == "<td" else ()))
+    kind = rng.random()
+    bare = kind < 0.12
 
     def put(text: str, path: tuple[str, ...], links: float, y: int) -> None:
         blocks.append(Block(text, (*top, *path), links))
         labels.append(y)
 
     def boiler(kind: str) -> None:
+        loose = bare and rng.random() < 0.5  # nothing names the part but its words, links and place
         if kind == "nav":
-            box = ("<nav",) if rng.random() < 0.6 else ("<div", *cls("nav", "menu", "navbar", "navigation"))
+            box = ("<nav",) if rng.random() < 0.5 else (div, *cls("nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar"))
+            if loose or rng.random() < 0.3:
+                put(" ".join(one("Home", "About", "News", "Contact", "Blog", pick(1)) for _ in range(int(rng.integers(2, 7)))), ("<p",) if loose else box, 0.6 + 0.4 * rng.random(), 0)
+                return
             for _ in range(int(rng.integers(2, 9))):
                 put(pick(int(rng.integers(1, 4))), (*box, "<ul", "<li"), 1.0, 0)
         elif kind == "header":
-            box = ("<header",) if rng.random() < 0.6 else ("<div", *cls("header", "masthead", "banner", "topbar"))
-            put(pick(int(rng.integers(1, 6))), (*box, "<h1" if rng.random() < 0.5 else "<p"), rng.random(), 0)
+            box = ("<header",) if rng.random() < 0.6 else (div, *cls("header", "masthead", "banner", "topbar"))
+            put(pick(int(rng.integers(1, 6))), (*box, *one((), ("<h1",), ("<p",))), rng.random() if rng.random() < 0.5 else 0.0, 0)
         elif kind == "ad":
-            box = ("<aside",) if rng.random() < 0.2 else ("<div" if rng.random() < 0.8 else "<section", *cls("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner"))
+            box = ("<aside",) if rng.random() < 0.2 else (one(div, div, div, "<section"), *cls("ad", "ads", "advert", "advertisement", "adverts", "sponsored", "sponsor", "promo", "promotion", "banner"))
             for _ in range(int(rng.integers(1, 3))):
-                put(sentence(int(rng.integers(3, 25))), box if rng.random() < 0.6 else (*box, "<p"), float(rng.random() < 0.3), 0)
+                put(one("", "", "Buy now! ", "Sponsored: ") + sentence(int(rng.integers(3, 30))), box if rng.random() < 0.6 else (*box, "<p"), float(rng.random() < 0.3), 0)
         elif kind == "side":
-            box = ("<aside",) if rng.random() < 0.6 else ("<div", *cls("sidebar", "side", "widget", "related", "recommended"))
+            box = ("<aside", *(cls("sidebar", "related") if rng.random() < 0.4 else ())) if rng.random() < 0.5 else (div, *cls("sidebar", "side", "widget", "related", "recommended", "share", "social"))
+            leaf = one(("<p",), ("<li",), ("<h3",), ("<div",))
             for _ in range(int(rng.integers(1, 6))):
-                put(sentence(int(rng.integers(2, 20))), (*box, ("<p", "<li", "<h3")[int(rng.integers(3))]), float(rng.random() < 0.5), 0)
+                put(sentence(int(rng.integers(2, 25))), (*box, *leaf), float(rng.random() < 0.5), 0)
         elif kind == "notice":
-            box = ("<div" if rng.random() < 0.8 else "<dialog", *cls("cookie", "consent", "notice", "popup", "modal", "newsletter", "alert"))
-            put(sentence(int(rng.integers(5, 30))), box if rng.random() < 0.5 else (*box, "<p"), 0.0, 0)
+            box = (one(div, div, div, "<dialog"), *cls("cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "alert"))
+            put(one("", "", "We use cookies. ", "Sign up to our newsletter. ") + sentence(int(rng.integers(3, 30))), box if rng.random() < 0.5 else (*box, "<p"), 0.0, 0)
             if rng.random() < 0.5:
                 put(pick(1), (*box, "<button"), 0.0, 0)
         elif kind == "form":
+            box = (*((div, *cls("login", "search", "signup", "subscribe", "form")) if rng.random() < 0.4 else ()), "<form")
             for _ in range(int(rng.integers(1, 4))):
-                put(pick(int(rng.integers(1, 6))), ("<form", ("<label", "<button", "<p", "<div")[int(rng.integers(4))]), 0.0, 0)
+                put(pick(int(rng.integers(1, 6))), (*box, one("<label", "<button", "<p", "<div")), 0.0, 0)
         elif kind == "comments":
-            box = ("<section" if rng.random() < 0.5 else "<div", *cls("comments", "comment", "replies", "discussion", "respond"))
-            put(pick(2), (*box, "<h3"), 0.0, 0)
-            for _ in range(int(rng.integers(1, 7))):
-                own = (*box, ("<div", "<article", "<li")[int(rng.integers(3))], *cls("comment", "reply"))
-                put(sentence(int(rng.integers(3, 40))), (*own, "<p") if rng.random() < 0.7 else own, 0.0, 0)
+            box = (one("<section", div), *cls("comments", "comment", "replies", "discussion", "respond", "disqus"))
+            if rng.random() < 0.7:
+                put(one("Comments", "Replies", pick(2)), (*box, one("<h2", "<h3")), 0.0, 0)
+            entry = (one("<div", "<article", "<li"), *cls("comment", "reply"))
+            leaf = one((), ("<p",), ("<p",), ("<div",))
+            for _ in range(int(rng.integers(1, 7)) if rng.random() < 0.7 else int(rng.integers(7, 40))):
+                if rng.random() < 0.2:
+                    put(pick(1), (*box, *entry, *one((), ("<h4",), ("<div",))), 0.0, 0)
+                put(sentence(int(rng.integers(3, 60))), (*box, *entry, *leaf), 0.0, 0)
         elif kind == "footer":
-            box = ("<footer",) if rng.random() < 0.6 else ("<div", *cls("footer", "copyright", "legal", "bottom"))
-            for _ in range(int(rng.integers(1, 5))):
-                put(("© " if rng.random() < 0.5 else "") + sentence(int(rng.integers(2, 20))), box if rng.random() < 0.5 else (*box, "<p"), float(rng.random() < 0.3), 0)
+            box = ("<p",) if loose else ("<footer",) if rng.random() < 0.6 else (div, *cls("footer", "copyright", "legal", "bottom", "contentinfo"))
+            for _ in range(1 if loose else int(rng.integers(1, 5))):
+                right = loose or rng.random() < 0.4
+                put((one("© ", "Copyright ", "Copyright © ") + str(int(rng.integers(1995, 2030))) + " " if right else "") + sentence(int(rng.integers(2, 8 if loose else 20))) + (" All rights reserved." if right and rng.random() < 0.6 else ""), box if loose or rng.random() < 0.5 else (*box, "<p"), float(rng.random() < 0.3), 0)
+
+    busy = one(0.25, 0.6, 1.0, 1.0)
 
     def some(kinds: list[str], share: float) -> None:
         for k in kinds:
-            if rng.random() < share:
+            if rng.random() < share * busy:
                 boiler(k)
 
     some(["notice", "header", "nav", "ad"], 0.6)
-    kind = rng.random()
-    box = () if kind < 0.08 else ("<article",) if kind < 0.4 else ("<main",) if kind < 0.5 else ("<main", "<article") if kind < 0.6 else ("<div", *cls("content", "post", "entry", "article", "story", "main"))
+    around = ("<main",) if rng.random() < 0.15 else ()
+    box = () if bare else ("<article",) if kind < 0.4 else ("<main",) if kind < 0.5 else ("<main", "<article") if kind < 0.6 else (div, *cls("content", "post", "entry", "article", "story", "main"))
+    if around and box[:1] != ("<main",):
+        box = (*around, *box)
     if rng.random() < 0.3:
         box = (*box, "<section" if rng.random() < 0.5 else "<div", *cls("body", "text", "content"))
     if rng.random() < 0.7:
-        put(pick(int(rng.integers(2, 14))), (*box, *(("<header",) if rng.random() < 0.2 else ()), "<h1"), 0.0, 1)
-    for _ in range(int(rng.integers(1, 14))):
-        k = rng.random()
-        n = int(rng.integers(1, 90))
-        leaf = ("<p",) if k < 0.72 else ("<h2",) if k < 0.8 else ("<ul", "<li") if k < 0.88 else ("<blockquote", "<p") if k < 0.92 else ("<pre",) if k < 0.95 else ("<table", "<tr", "<td")
-        put(sentence(n if leaf == ("<p",) else max(1, n // 4)), (*box, *leaf), float(rng.random() < 0.1) * 0.3, 1)
-        if rng.random() < 0.06:
+        put(pick(int(rng.integers(2, 14))), (*box, *(("<header",) if rng.random() < 0.2 else ()), one("<h1", "<h1", "<h2")), 0.0, 1)
+    usual = ("<p",) if rng.random() < 0.8 or bare else ("<div",)
+    size, again = one(90, 90, 90, 8), rng.random() < 0.15  # some articles have short lines only, some repeat theirs
+    for _ in range(int(rng.integers(1, 14)) if rng.random() < 0.85 else int(rng.integers(14, 100))):
+        k = 0.0 if again and rng.random() < 0.8 else rng.random()
+        n = int(rng.integers(1, size))
+        leaf = usual if k < 0.72 else ("<h2",) if k < 0.79 else ("<ul", "<li") if k < 0.86 else ("<blockquote", "<p") if k < 0.9 else ("<pre",) if k < 0.93 else ("<figure", "<figcaption") if k < 0.95 else ("<table", "<tr", "<td")
+        put(blocks[-1].text if again and labels[-1:] == [1] and rng.random() < 0.6 else sentence(n if leaf == usual else max(1, n // 4)), (*box, *leaf), float(rng.random() < 0.1) * 0.3, 1)
+        if rng.random() < 0.07:
             held = len(blocks)
-            boiler(("ad", "side", "notice", "form")[int(rng.integers(4))])
+            boiler(one("ad", "side", "notice", "form"))
             for b in blocks[held:]:  # inside the article
                 b.path = (*top, *box, *b.path[len(top) :])
+    if around and rng.random() < 0.6:
+        held = len(blocks)
+        boiler("comments")
+        for b in blocks[held:]:  # beside the article, in the same main part
+            b.path = (*top, *around, *b.path[len(top) :])
     some(["comments", "side", "form", "ad", "nav", "footer", "notice"], 0.5)
     return blocks, labels
 
 
-def fit_pages(sample: list[str], hidden: int = 16, epochs: int = 5, made: int = 900, rate: float = 0.01, batch: int = 24, seed: int = 7, window: int = 400) -> BlockModel:
-    """Train on the sample (labels by the teacher) and on `made` generated pages, in pieces of at most `window` blocks."""
+def fit_pages(sample: list[str], hidden: int = 16, epochs: int = 6, made: int = 1600, rate: float = 0.01, batch: int = 24, seed: int = 7, window: int = 400) -> BlockModel:
+    """Train on the sample (labels by the teacher) and on `made` generated pages, in pieces of at most `window` blocks; the weights are the last epoch's mean."""
     rng = np.random.default_rng(seed)
     parsed = [p for p in map(parse, sample) if p]
     words = [w for p in parsed for b in p for w in b.text.split()] or ["text", "page", "word", "line"]
@@ -411,6 +444,7 @@ def fit_pages(sample: list[str], hidden: int = 16, epochs: int = 5, made: int =
         data.append((vectors(blocks), np.array(labels, np.float32)))
     model = BlockModel.fresh(hidden, rng)
     m = [np.zeros_like(w) for w in model.weights]
+    mean, n_mean = [np.zeros(w.shape) for w in model.weights], 0
     v = [np.zeros_like(w) for w in model.weights]
     t = 0
     for epoch in range(epochs):
@@ -427,7 +461,9 @@ def fit_pages(sample: list[str], hidden: int = 16, epochs: int = 5, made: int =
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 model.weights[k] = (model.weights[k] - lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    return model
+            if epoch == epochs - 1:
+                mean, n_mean = [a + w for a, w in zip(mean, model.weights, strict=True)], n_mean + 1
+    return BlockModel([(a / n_mean).astype(np.float32) for a in mean], model.threshold) if n_mean else model
 
 
 def fit(pages: DataFrame, key: str = "page_id", html: str = "html", max_pages: int = 400, **options) -> BlockModel:
