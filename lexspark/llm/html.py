@@ -394,10 +394,12 @@ def generated(words: list[str], rng) -> tuple[list[Block], list[int]]:
                 put((one("© ", "Copyright ", "Copyright © ") + str(int(rng.integers(1995, 2030))) + " " if right else "") + sentence(int(rng.integers(2, 8 if loose else 20))) + (" All rights reserved." if right and rng.random() < 0.6 else ""), box if loose or rng.random() < 0.5 else (*box, "<p"), float(rng.random() < 0.3), 0)
 
     busy = one(0.25, 0.6, 1.0, 1.0)
+    # without names nothing tells a box of prose from the article, so such pages have few
+    shown = lambda k: named or k not in ("ad", "side", "notice", "comments") or rng.random() < 0.25
 
     def some(kinds: list[str], share: float) -> None:
         for k in kinds:
-            if rng.random() < share * busy:
+            if rng.random() < share * busy and shown(k):
                 boiler(k)
 
     some(["notice", "header", "nav", "ad"], 0.6)
@@ -416,12 +418,12 @@ def generated(words: list[str], rng) -> tuple[list[Block], list[int]]:
         n = int(rng.integers(1, size))
         leaf = usual if k < 0.72 else ("<h2",) if k < 0.79 else ("<ul", "<li") if k < 0.86 else ("<blockquote", "<p") if k < 0.9 else ("<pre",) if k < 0.93 else ("<figure", "<figcaption") if k < 0.95 else ("<table", "<tr", "<td")
         put(blocks[-1].text if again and labels[-1:] == [1] and rng.random() < 0.6 else sentence(n if leaf == usual else max(1, n // 4)), (*box, *leaf), float(rng.random() < 0.1) * 0.3, 1)
-        if rng.random() < 0.07:
+        if rng.random() < 0.07 and shown(inner := one("ad", "side", "notice", "form")):
             held = len(blocks)
-            boiler(one("ad", "side", "notice", "form"))
+            boiler(inner)
             for b in blocks[held:]:  # inside the article
                 b.path = (*top, *box, *b.path[len(top) :])
-    if around and rng.random() < 0.6:
+    if around and rng.random() < 0.6 and shown("comments"):
         held = len(blocks)
         boiler("comments")
         for b in blocks[held:]:  # beside the article, in the same main part

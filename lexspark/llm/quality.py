@@ -178,6 +178,13 @@ def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, ask: Callable[[Questio
     return QualityModel(fitted[0], fitted[1], calibration, logistic(z, y[held], l2=0.5), rounds=[a + b for a, b in log], exchanged=log)
 
 
+def surest(found: DataFrame, quota: tuple[int, int]) -> DataFrame:
+    """The quota's surest rows of each view and kind, with their place."""
+    place = F.row_number().over(Window.partitionBy("view", "kind").orderBy(F.desc("confidence"), "rid"))
+    # the bound that holds for both kinds is a literal, so Spark ranks within each partition before the shuffle
+    return found.withColumn("place", place).where((F.col("place") <= max(quota)) & (F.col("place") <= F.when(F.col("kind") == 0, quota[0]).otherwise(quota[1])))
+
+
 def asked_of(rows: DataFrame) -> Callable[[Question], list[tuple[int, int, int, np.ndarray, np.ndarray]]]:
     """Answers from all rows (rid, t, m): each batch names its surest, and the surest of all are ranked by view and kind."""
 
@@ -190,9 +197,7 @@ def asked_of(rows: DataFrame) -> Callable[[Question], list[tuple[int, int, int,
                 yield pa.RecordBatch.from_arrays(columns, ["view", "kind", "confidence", "rid"])
 
         found = rows.select("rid", "t", "m").mapInArrow(run, "view int, kind int, confidence double, rid bigint").distinct()
-        place = F.row_number().over(Window.partitionBy("view", "kind").orderBy(F.desc("confidence"), "rid"))
-        # the bound that holds for both kinds is a literal, so Spark ranks within each partition before the shuffle
-        best = found.withColumn("place", place).where((F.col("place") <= max(q.quota)) & (F.col("place") <= F.when(F.col("kind") == 0, q.quota[0]).otherwise(q.quota[1]))).collect()
+        best = surest(found, q.quota).collect()
         if not best:
             return []
         wanted = sorted({r.rid for r in best})

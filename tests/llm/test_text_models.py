@@ -1,15 +1,17 @@
 """Language, toxicity, quality, extraction, decontamination and tokens: the pure parts and their DataFrame forms."""
 
+import os
 import random
 import re
 from collections import Counter
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexspark.llm import decontam, html, lid, packing, quality, toxicity
-from lexspark.llm.common import held_out, mix, shingle_hashes, word_hashes
+from lexspark.llm.common import borrowed, held_out, mix, shingle_hashes, word_hashes
 
 WORDS = {"en": "the and that with from this have which their would other about".split(), "de": "der und nicht eine werden auch sich über nach können würde noch".split()}
 
@@ -164,6 +166,20 @@ def test_all_unlabelled_rows_are_asked(spark):
     assert one.exchanged == other.exchanged and min(one.exchanged[0]) > 0 and np.allclose(one.text, other.text) and np.allclose(one.stack, other.stack)
 
 
+def test_the_surest_are_ranked_before_the_shuffle(spark):
+    found = spark.createDataFrame([(v, k, c / 10, 10 * v + c) for v in (0, 1) for k in (0, 1) for c in range(6)], "view int, kind int, confidence double, rid bigint")
+    best = quality.surest(found, (4, 2))
+    assert sorted((r.view, r.kind, r.rid) for r in best.collect()) == [(v, k, 10 * v + c) for v in (0, 1) for k in (0, 1) for c in range(6 - (4, 2)[k], 6)]
+    assert "WindowGroupLimit" in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_borrowed_tables_go(spark):
+    with borrowed(spark.range(5)) as t:
+        path = urlparse(t.inputFiles()[0]).path
+        assert t.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(os.path.dirname(path))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>x</title><style>p{}</style><script>var a = "</p>";</script></head><body>
 <nav><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></nav><div class="cookie-notice"><p>We use cookies here.</p></div>
 <article><h1>A  title &amp; more</h1><p>First <b>bold</b> paragraph&nbsp;of the text, which is long enough.<p>Second one,
@@ -173,6 +189,11 @@ with a line break.</article>
 
 @pytest.fixture(scope="module")
 def block_model():
+    return html.fit_pages([PAGE] * 8, epochs=4, made=500)
+
+
+@pytest.fixture(scope="module")
+def usual_model():
     return html.fit_pages([PAGE] * 8)
 
 
@@ -217,11 +238,11 @@ def hand_labelled():
     yield f"<h3>Notes</h3><p>{a}<p>{b}<hr><p>{c}", f"Notes {a} {b} {c}"
 
 
-def test_main_text_of_hand_labelled_pages(block_model):
+def test_main_text_of_hand_labelled_pages(usual_model):
     """Word F1 over whole texts."""
     both = got_n = want_n = 0
     for page, want in hand_labelled():
-        got, own = (Counter(t.split()) for t in (html.main_text(block_model, [page])[0], want))
+        got, own = (Counter(t.split()) for t in (html.main_text(usual_model, [page])[0], want))
         both, got_n, want_n = both + (got & own).total(), got_n + got.total(), want_n + own.total()
     assert 2 * both / (got_n + want_n) > 0.9
 
