@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import decontam, fixity, html, imatch, license, lid, neardup, packing, quality, toxicity
-from lexspark.llm.common import held_out, table
+from lexspark.llm import decontam, fim, fixity, html, imatch, license, lid, neardup, packing, quality, tokencount, toxicity, vectorcode
+from lexspark.llm.common import held_out, shared_dir, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +81,28 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(docs, license.frequencies(docs)).drop("text").withColumn("score", F.round("score", 6))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vectorcode.fit(rows)
+    coded = vectorcode.with_label_error(vectorcode.encode(rows, books).drop("embedding"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache is a new one on each call, in the shared folder, so the query's work is that of its table; `tokencount.counts` takes one that stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = f"{shared_dir(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}"
+    return tokencount.counts(docs, cache).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c, 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_language, op3_near_duplicates, op4_main_text, op5_imatch, op6_fixity, op7_toxicity, op8_packing, op9_decontamination, op10_licenses)
+    f.__name__: f for f in (op1_quality, op2_language, op3_near_duplicates, op4_main_text, op5_imatch, op6_fixity, op7_toxicity, op8_packing, op9_decontamination, op10_licenses, op11_vector_codes, op12_token_counts, op13_fill_in_middle)
 }
 
 def _sql_crc32(text: str) -> str:
@@ -116,5 +137,31 @@ _LICENSES = f"""with t(words, key, key_at, label, base) as (values {_TEMPLATES})
     g as (select doc_id, count(*) filter (base) n_base, min(start) filter (base) first_word, max(start) filter (base) last_word, string_agg(distinct label, ',' order by label) filter (base) base_labels, string_agg(distinct label, ',' order by label) labels, max(share) score from h where base or share >= {license.LEAST_SHARE} group by 1)
     select doc_id, len(w)::bigint n_words, coalesce(n_base, 0)::bigint n_base, first_word::bigint first_word, last_word::bigint last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, round(coalesce(score, 0.0), 6) score from d left join g using (doc_id)"""
 
+_H = ", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::bigint h{i + 1}" for i in range(4))
+_FIM = f"""with t as (select doc_id, coalesce(text, '') t, sha256('{fim.SEED}:' || coalesce(doc_id::varchar, '')) h from documents),
+    u as (select doc_id, t, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+') u, {_H} from t),
+    r as (select *, len(u) n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) b from u),
+    p as (select *, array_to_string(u[1:a], '') pre, array_to_string(u[a + 1:b], '') mid, array_to_string(u[b + 1:], '') suf,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end form from r)
+    select doc_id, n::bigint n, form, case when form <> 'plain' then length(pre)::bigint end prefix_chars, case when form <> 'plain' then length(mid)::bigint end middle_chars,
+    sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256, sha256(t) restored_sha256 from p"""
+
+
+def _sql_round(k: int) -> str:
+    """Assign the parts to the codebooks c{k} and move the entries."""
+    floor = "((s - ((s % n) + n) % n) // n)::bigint"
+    return f"""d{k} as materialized (select r, part, p, e, dist from (select r, x.part, p, e, list_sum(list_transform(range(1, len(p) + 1), lambda i: (p[i] - c[i]) * (p[i] - c[i])))::bigint dist, row_number() over (partition by r, x.part order by list_sum(list_transform(range(1, len(p) + 1), lambda i: (p[i] - c[i]) * (p[i] - c[i]))), e) k from x join c{k} using (part)) where k = 1),
+    m{k} as (select part, e, list({floor} order by i) c from (select part, e, i, sum(p[i])::hugeint s, count(*) n from (select part, e, p, unnest(range(1, len(p) + 1)) i from d{k}) group by 1, 2, 3) group by 1, 2),
+    c{k + 1} as materialized (select part, e, coalesce(m{k}.c, c{k}.c) c from c{k} left join m{k} using (part, e))"""
+
+
+_CODES = f"""with v as (select vec_id, label, list_transform(embedding, lambda y: floor(256 * y::double)::bigint) v from embeddings where embedding is not null and len(list_filter(embedding, lambda y: y is null or not isfinite(y))) = 0),
+    w as materialized (select row_number() over (order by vec_id, v) r, * from v),
+    x as materialized (select r, part, v[part * len(v) // 16 + 1:(part + 1) * len(v) // 16] p from w, range(16) g(part)),
+    c0 as materialized (select part, r - 1 e, p c from x where r <= 64), {_sql_round(0)}, {_sql_round(1)}, {_sql_round(2)},
+    f as (select r, string_agg(printf('%02x', e), '' order by part) code, sum(dist)::bigint error from d2 group by 1),
+    l as (select label, sum(error)::bigint label_error from w join f using (r) group by 1)
+    select vec_id, code, error, label_error, (select sha256(string_agg(array_to_string(c, ','), ',' order by part, e)) from c2) codebooks_sha256 from w join f using (r) join l on l.label is not distinct from w.label"""
+
 #: SQL for the queries that it can express over whole tables; the others are tested against brute force.
-ORACLE: dict[str, str] = {"op6_fixity": _FIXITY, "op10_licenses": _LICENSES}
+ORACLE: dict[str, str] = {"op6_fixity": _FIXITY, "op10_licenses": _LICENSES, "op11_vector_codes": _CODES, "op13_fill_in_middle": _FIM}
