@@ -80,6 +80,7 @@ def transform(docs: DataFrame, key: str = "doc_id", text: str = "text", pattern:
 
 def restored(output: Column, form: Column) -> Column:
     """The text that an output was made from, from the output and its form alone. No sentinel can begin inside a text and end in another sentinel, so the first of each is ours."""
-    parts = F.split(output, "|".join((PREFIX, SUFFIX, MIDDLE)), 4)
-    piece = lambda k: F.get(parts, F.lit(k))
-    return F.when(form == "psm", F.concat(piece(1), piece(3), piece(2))).when(form == "spm", F.concat(piece(2), piece(3), piece(1))).otherwise(output)
+    cut = F.split(output, "|".join((PREFIX, SUFFIX, MIDDLE)), 4)
+    piece = lambda parts, k: F.get(parts, F.lit(k))
+    joined = lambda *at: F.element_at(F.transform(F.array(cut), lambda parts: F.concat(*[piece(parts, k) for k in at])), 1)
+    return F.when(form == "psm", joined(1, 3, 2)).when(form == "spm", joined(2, 3, 1)).otherwise(output)
