@@ -361,7 +361,7 @@ def test_queries_against_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     found = c.execute(queries.ORACLE[name])
     names = [d[0] for d in found.description]
