@@ -15,7 +15,7 @@ from lexspark.functions import text as X
 from lexspark.operators import citations, expand, graph, metrics
 from lexspark.plans import answer, evaluate
 from lexspark.queries.registry import load, query
-from lexspark.sources import index, jsonl, reports, rest, xml
+from lexspark.sources import jsonl, reports, rest, vectors, xml
 from lexspark.tables import shared_dir
 
 
@@ -311,14 +311,57 @@ def changed_paragraphs(spark, sf_dir):
     return rows.select("id", F.array_join(F.transform("at", lambda x: x.cast("string")), ",").alias("places"))
 
 
-@query("select vec_id, label, 'whole' index_name, 'hash' model, 'query: ' query_prefix from embeddings where label % 2 = 0")
+@query("select vec_id, label, round(list_sum(embedding::double[]), 5) total, len(embedding)::int dim, 'hash' model, 'query: ' query_prefix from embeddings where label % 2 = 0")
 def index_scan(spark, sf_dir):
-    """Two indexes are written, each to a folder of its own, and one is read with its model and query prefix."""
+    """Two indexes are written with all their vectors, and one is read with its model and query prefix."""
+    e = load(spark, sf_dir, "embeddings")
+    whole = _index(spark, e.where("label % 2 = 0"), "whole", "cases", e.where("label % 2 = 1"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return whole.rows.select("vec_id", "label", F.round(total, 5).alias("total"), F.size("embedding").alias("dim"), F.lit(whole.model).alias("model"), F.lit(whole.query_prefix).alias("query_prefix"))
+
+
+def _index(spark, rows, name="whole", other=None, other_rows=None):
     path = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
-    e = load(spark, sf_dir, "embeddings").select("vec_id", "label")
-    index.write(e.where("label % 2 = 0"), path, "whole", "hash", "query: ")
-    index.write(e.where("label % 2 = 1"), path, "cases", "hash")
-    return index.read(spark, path, "whole").select("vec_id", "label", "index_name", "model", "query_prefix")
+    if other:
+        vectors.write(other_rows, path, other, "hash")
+    vectors.write(rows, path, name, "hash", "query: ")
+    return vectors.read(spark, path, name)
+
+
+def _asked(e):
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+INDEXED = "e as (select vec_id, embedding::double[] v from embeddings), s as (select q.vec_id query_id, e.vec_id, list_inner_product(e.v, q.v) score from e, e q where q.vec_id % 50 = 0)"
+
+
+@query(f"with {INDEXED}, r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) select query_id, rank::int rank, vec_id, round(score, 6) score from r where rank <= 10")
+def index_exact(spark, sf_dir):
+    """The stated queries against all vectors of a stored index, exact: a few cells, then those that their bound leaves open."""
+    e = load(spark, sf_dir, "embeddings")
+    index = _index(spark, e)
+    hits = vectors.search(index, _asked(e), 10, max(1, index.cells // 8), exact=True)
+    return hits.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("select count(*)::bigint queries, 10 k, true reached from embeddings where vec_id % 50 = 0")
+def index_recall(spark, sf_dir):
+    """Whether as many cells as were measured to suffice give the stated queries nine of ten true neighbours on average."""
+    e = load(spark, sf_dir, "embeddings")
+    index = _index(spark, e)
+    found = vectors.search(index, _asked(e), 10, vectors.probes_for(index, 10))
+    true = vectors.search(index, _asked(e), 10, index.cells)
+    return vectors.recall(found, true).agg(F.count("*").alias("queries"), F.lit(10).alias("k"), (F.avg("recall") >= 0.9).alias("reached"))
+
+
+@query(f"with {INDEXED}, r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s where vec_id <> query_id) select query_id, string_agg(vec_id::varchar, ',' order by rank) nearest from r where rank <= 3 group by 1")
+def index_fewshot(spark, sf_dir):
+    """The nearest three stored examples but the query itself, from a stored index."""
+    e = load(spark, sf_dir, "embeddings")
+    index = _index(spark, e)
+    hits = vectors.search(index, _asked(e), 4, max(1, index.cells // 8), exact=True).where("vec_id <> query_id")
+    held = F.slice(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), 1, 3)
+    return hits.groupBy("query_id").agg(F.array_join(F.transform(held, lambda x: x["vec_id"].cast("string")), ",").alias("nearest"))
 
 
 def _counting():
