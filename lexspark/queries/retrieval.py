@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
 from lexspark.operators import retrieval as R
 from lexspark.operators import sampling
 from lexspark.queries.registry import load, query
+from lexspark.sources import postings
+from lexspark.tables import shared_dir
 
 TOKENS = "flatten(list_transform(regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: case when length(w) = 1 then [w] else list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) end))"
 ASK = "that onesen"
@@ -36,16 +40,20 @@ def _ranked(spark, sf_dir, top):
     return e, q, R.scored(e, q, top)
 
 
-def _bm25(spark, sf_dir, n):
-    docs = load(spark, sf_dir, "documents")
-    asked = spark.createDataFrame([(0, ASK)], "query_id bigint, query string")
-    return R.top_k(R.bm25(docs, asked), n, ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")])
+ASKED = f"""tok as (select doc_id, {TOKENS.format(c="text")} t from documents), len as (select doc_id, len(t)::double n from tok), st as (select count(*)::double n, avg(n) m from len),
+    p as (select t, doc_id, count(*)::double tf from (select doc_id, unnest(t) t from tok) group by all), df as (select t, count(*)::double df from p group by 1),
+    qt as (select distinct conv_id * 1000 + turn query_id, unnest({TOKENS.format(c="text")}) t from conversations where conv_id % 50 = 0),
+    b as (select query_id, doc_id, sum(ln(1 + (st.n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len.n / st.m))) score from qt join p using (t) join df using (t) join len using (doc_id), st group by 1, 2),
+    bm as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) rank from b)"""
 
 
-@query(f"with {BM25} select rank::int rank, doc_id, round(score, 6) score from bm where rank <= 10")
+@query(f"with {ASKED} select query_id, rank::int rank, doc_id, round(score, 6) score from bm where rank <= 10")
 def bm25_topk(spark, sf_dir):
-    """F16, T02."""
-    return _bm25(spark, sf_dir, 10).select("rank", "doc_id", F.round("score", 6).alias("score"))
+    """The turns of each conversation whose id is divisible by 50 as questions, whole, to a stored index of all documents."""
+    path = f"{shared_dir(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
+    postings.write(load(spark, sf_dir, "documents"), path)
+    asked = load(spark, sf_dir, "conversations").where("conv_id % 50 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    return postings.search(postings.read(spark, path), asked, 10).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"with t as (select doc_id, {TOKENS.format(c='text')} t from documents) select doc_id, len(t)::int n_tokens, len(list_distinct(t))::int n_distinct, coalesce(t[1], '') first_token from t")
