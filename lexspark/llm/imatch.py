@@ -18,6 +18,7 @@ read whole; equal texts have equal fingerprints; an empty table gives an empty r
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 
@@ -89,10 +90,11 @@ def subsets(docs: DataFrame, lex: DataFrame, text: str, name: str) -> DataFrame:
     """Append `name`, the subset hashes of the text. `lex` is one row, read as a scalar subquery."""
     view = f"lex_{uuid.uuid4().hex}"
     lex.createOrReplaceTempView(view)
+    held, kept = (f"_{uuid.uuid4().hex}" for _ in range(2))
     # the optimiser folds the lexicon into its one use, so no row carries it
-    got = docs.withColumn("_lex", F.expr(f"(select lex from {view})"))
-    got = got.withColumn("_kept", lexicon_terms(_terms_of(text), F.col("_lex"))).drop("_lex")
-    return got.withColumn(name, _hash_subsets(F.col("_kept"))).drop("_kept")
+    got = docs.withColumn(held, F.expr(f"(select lex from {view})"))
+    got = got.withColumn(kept, lexicon_terms(_terms_of(text), F.col(held))).drop(held)
+    return got.withColumn(name, _hash_subsets(F.col(kept))).drop(kept)
 
 
 def _terms_of(text: str) -> Column:
@@ -110,33 +112,39 @@ def fingerprint(docs: DataFrame, lex: DataFrame, text: str = "text", name: str =
 
 
 def _number(docs: DataFrame, key: str) -> Column:
-    """A number that rises (not always strictly) with the key, least for null: integers as they are, seven bytes of a string, and the double of what else."""
+    """A value that rises (not always strictly) with the key, least for null: integers and strings as they are, and the double of what else."""
     kind, k = docs.schema[key].dataType, F.col(f"`{key}`")
     if isinstance(kind, IntegralType):
         return F.coalesce(k.cast("bigint"), F.lit(-(2**63)))
     if isinstance(kind, StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(k, "utf-8"), 1, 7)), 14, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("bigint"), F.lit(-1).cast("bigint"))
+        return F.coalesce(k, F.lit(""))
     return F.coalesce(k.cast("double"), F.lit(float("-inf")))
 
 
+def _cuts(kept: DataFrame, parts: int) -> list:
+    """About parts - 1 values that part the rows evenly: by an approximate quantile sketch of numbers, and of strings from those of `parts` x 10 rows with the least hashes."""
+    if isinstance(kept.schema["k"].dataType, StringType):
+        drawn = sorted(r.k for r in kept.select("k", F.xxhash64("k", F.monotonically_increasing_id()).alias("h")).orderBy("h").limit(10 * parts).collect())
+        return sorted({drawn[i * len(drawn) // parts] for i in range(1, parts)}, key=lambda x: x.encode())
+    return sorted(set(kept.select(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]))
+
+
 def _range_of(docs: DataFrame, key: str) -> Column:
-    """The number of a row's range of keys, by an approximate quantile sketch, found in two steps through equal groups of cuts. Ranges hold about RANGE_ROWS rows; beyond RANGES of them they grow."""
+    """The number of a row's range of keys, found in two steps through equal groups of cuts. Ranges hold about RANGE_ROWS rows; beyond RANGES of them they grow."""
     k = _number(docs, key)
     kept = docs.select(k.alias("k"))
     parts = min(RANGES, kept.count() // RANGE_ROWS)
     if parts < 2:
         return F.lit(0)
-    cuts = sorted(set(kept.select(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]))
+    cuts = _cuts(kept, parts)
     width = math.isqrt(len(cuts) - 1) + 1
     groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
     kind = kept.schema["k"].dataType.simpleString()
-    # a text splits into a constant array much faster than one is built of literals
-    array = lambda xs: F.split(F.lit(",".join(map(repr, xs))), ",").cast(f"array<{kind}>")
+    # one constant is read much faster than arrays are built of literals
+    array = lambda xs, t: F.from_json(F.lit(json.dumps(xs)), t)
     count = lambda xs: F.size(F.filter(xs, lambda b: b < k))
-    coarse = F.greatest(count(array([g[0] for g in groups])) - 1, F.lit(0))
-    held = F.transform(F.split(F.lit(";".join(",".join(map(repr, g)) for g in groups)), ";"), lambda g: F.split(g, ",").cast(f"array<{kind}>"))
-    return coarse * width + count(F.element_at(held, coarse + 1))
+    coarse = F.greatest(count(array([g[0] for g in groups], f"array<{kind}>")) - 1, F.lit(0))
+    return coarse * width + count(F.element_at(array(groups, f"array<array<{kind}>>"), coarse + 1))
 
 
 def with_next(docs: DataFrame, key: str, text: str, derive) -> DataFrame:

@@ -13,7 +13,6 @@ kept, and one named like a result is replaced.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -29,7 +28,6 @@ BLOCK = 4096
 FRAME = 9
 #: A run that ends every dictionary and begins every block: its match makes the encoder write a compressed frame where it would store a few bytes as they are, and so shows which dictionary helps.
 RUN = bytes(97 + (7 * i * i + 3 * i) % 26 for i in range(120))
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -90,7 +88,7 @@ def sizes(model: LanguageModel, text: str) -> list[int]:
 
 
 def classify(model: LanguageModel, text: str | None) -> tuple[str, float, float, bool]:
-    if not text or not model.langs or not LETTER.search(text):
+    if not text or not model.langs or not any(map(str.isalpha, text)):
         return "und", 0.0, 0.0, True
     got = sizes(model, text)
     order = sorted(range(len(got)), key=lambda i: (got[i], i))

@@ -24,6 +24,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -407,9 +408,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", p: NearDu
     tid = F.unhex(F.md5(F.col(text)))
     # one (id, text) pair for each class: the least id, and among texts with that id the least digest; a null text stays
     best = found.where(F.col("tid").isNotNull()).groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("k"), F.col(key).alias("id"), "tid")).alias("b"))
-    best = pinned(best.select(F.col("b.id").alias("_id"), F.col("b.tid").alias("_tid")))
-    kept = docs.withColumn("_tid", tid)
-    out = kept.join(best.withColumnRenamed("_tid", "_best"), (F.col("_tid") == F.col("_best")) & F.col(key).eqNullSafe(F.col("_id")), "left_semi").drop("_tid")
+    own, least, text_of = (f"_{uuid.uuid4().hex}" for _ in range(3))
+    best = pinned(best.select(F.col("b.id").alias(least), F.col("b.tid").alias(text_of)))
+    out = docs.withColumn(own, tid).join(best, (F.col(own) == F.col(text_of)) & F.col(key).eqNullSafe(F.col(least)), "left_semi").drop(own)
     doubled = found.groupBy(key, "tid").count().where("count > 1").limit(1).count()
     if doubled:
         out = out.dropDuplicates([key, text])
