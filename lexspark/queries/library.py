@@ -8,6 +8,7 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexspark.functions import external
 from lexspark.functions import statute as S
@@ -15,8 +16,8 @@ from lexspark.functions import text as X
 from lexspark.operators import citations, expand, graph, metrics
 from lexspark.plans import answer, evaluate
 from lexspark.queries.registry import load, query
-from lexspark.sources import jsonl, reports, rest, vectors, xml
-from lexspark.tables import shared_dir
+from lexspark.sources import graphjson, jsonl, reports, rest, vectors, xml
+from lexspark.tables import shared_dir, stored
 
 
 def _said(*parts) -> Column:
@@ -301,6 +302,29 @@ def graph_node_stats(spark, sf_dir):
     return graph.graph_stats(_nodes(spark, sf_dir))
 
 
+@query(f"with {NODES} select '#' || n article_id, case when cur then 'Act ' || law else '' end law, case when cur then '제' || n || '조' end label, cur in_current, pending, sunsets, implementing, case when refs = 1 then '#' || n % 13 || ':' || cue else '' end refs from w")
+def graph_json(spark, sf_dir):
+    """The nodes are written as one JSON object with free keys, in ordered parts, and read again with all that is nested in them."""
+    path = f"{shared_dir(spark).rstrip('/')}/graph-{uuid.uuid4().hex}"
+    w = stored(_nodes(spark, sf_dir))
+    fields = StructType([f for f in w.schema if f.name != "article_id"])
+    cases = w.select(F.explode("precedents").alias("id")).distinct().select("id", F.col("id").alias("title"))
+    graphjson.write(path, "2020-01-01", w, cases)
+    w = graphjson.read(spark, path, "nodes", fields)
+    cues = F.array_join(F.transform(F.map_entries("reference_cues"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",")
+    law = F.when(F.col("in_current"), F.col("law")).otherwise("")
+    return w.select("article_id", law.alias("law"), "label", "in_current", F.size("pending").alias("pending"), F.size("sunsets").alias("sunsets"), F.array_join("implementing_provisions", ",").alias("implementing"), cues.alias("refs"))
+
+
+@query("select user_id::varchar id, arg_max(event_type, event_id) source, max(event_id)::varchar \"query\" from events group by 1")
+def keyed_lines(spark, sf_dir):
+    """JSON lines over several files with many lines an id, read as a dict is: the last line of an id in order of files and lines."""
+    path = f"{shared_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    e = load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("source"), F.col("event_id").cast("string").alias("query"), "event_id")
+    e.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").drop("event_id").write.json(path)
+    return jsonl.read_keyed(spark, "pairs", path).select("id", "source", "query")
+
+
 @query("select o_orderkey id, array_to_string(list_filter(range(0, o_orderkey % 20 + 1), lambda i: i % 3 = o_custkey % 3)::varchar[], ',') places from orders")
 def changed_paragraphs(spark, sf_dir):
     """the places of a new version's paragraphs that an alignment with the old one finds changed."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexspark import schemas
 
@@ -39,3 +40,14 @@ def write_runs(rows: DataFrame, kind: str, path: str) -> None:
 
 def _struct(ddl: str) -> str:
     return ", ".join(part.strip().replace(" ", ": ", 1) for part in ddl.split(","))
+
+
+def read_keyed(spark: SparkSession, kind: str, path: str | list[str], key: str = "id") -> DataFrame:
+    """One row a key, the last one in order of file and place in it, as when lines are read into a dict.
+
+    Spark cuts large files by byte range. A row's place is its range's first byte and its number within the task, which reads a range from front to back; so the last row is a maximum with partial aggregation, and no file need be in one task. Lines that are blank or no JSON are left out; rows without a key are one key."""
+    shape = StructType.fromDDL(KINDS[kind])
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_nth"), "value")
+    held = lines.select(F.struct("_file", "_start", "_nth").alias("_at"), F.from_json("value", shape).alias("r"), "value").where(F.col("value").rlike(r"^\s*\{") & F.col("r").isNotNull())
+    last = held.groupBy(F.col(f"r.{key}").alias("_key")).agg(F.max_by("r", "_at").alias("r"))
+    return last.select("r.*")
