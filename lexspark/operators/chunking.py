@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from lexspark.functions import text as X
 
 MAX_TOKENS, OVERLAP, SPARE = 512, 64, 32
+#: Mean interval lengths in a bin of the overlap join.
+BIN_LENGTHS = 256
 
 
 def greedy_groups(lengths: Column, limit: int, base: int = 0, gap: int = 0) -> Column:
@@ -62,10 +68,47 @@ def windows(n: Column, size: int = MAX_TOKENS, overlap: int = OVERLAP) -> Column
     return F.sequence(F.lit(0), F.greatest(n - overlap, F.lit(1)) - 1, F.lit(size - overlap))
 
 
+def _ranges(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each `at` with the numbers of its range."""
+    n = np.maximum(hi - lo, 0)
+    first = np.cumsum(n) - n
+    return np.repeat(at, n), np.arange(n.sum()) - np.repeat(first - lo, n)
+
+
+def sweep(w: np.ndarray, s: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in w, in s) of the overlapping pairs whose later start lies in [begin, end). w and s have a row of starts and one of stops. A span begins within a window, or a window after a span's start and within it: both are ranges of starts in order, so the work is that of sorting and of the pairs."""
+    by_w, by_s = np.argsort(w[0], kind="stable"), np.argsort(s[0], kind="stable")
+    cut = lambda starts, lo, hi: (np.searchsorted(starts, np.maximum(lo, begin)), np.searchsorted(starts, np.minimum(hi, end)))
+    i, j = _ranges(np.arange(w.shape[1]), *cut(s[0][by_s], w[0], w[1]))
+    k, m = _ranges(np.arange(s.shape[1]), *cut(w[0][by_w], s[0] + 1, s[1]))
+    return np.concatenate([i, by_w[m]]), np.concatenate([by_s[j], k])
+
+
 def overlapping(windows: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """Pairs of windows and spans of one key that share a character; touching ends don't. The key keeps this an equi-join."""
+    """Pairs of windows and spans of one key that share a character; touching ends don't, and nothing shares one with an interval without length. The windows' columns, then those of the spans, with their start and stop as s_start and s_stop.
+
+    Both sides are cut into bins of some hundred mean lengths of the key's intervals, so a key with many of them is many groups, and an interval is in few. Each bin is swept, and a pair counts in the bin where the later of the two begins."""
+    ends = lambda df: df.where("stop > start").select(key, (F.col("stop") - F.col("start")).alias("n"))
+    width = ends(windows).unionByName(ends(spans)).groupBy(key).agg(F.ceil(F.avg("n") * BIN_LENGTHS).alias("_width"))
+    first, last = F.floor(F.col("start") / F.col("_width")), F.floor((F.col("stop") - 1) / F.col("_width"))
+    binned = lambda df: df.where("stop > start").join(width, key).withColumn("_bin", F.explode(F.sequence(first, last)))
     s = spans.withColumnsRenamed({"start": "s_start", "stop": "s_stop"})
-    return windows.join(s, key).where((F.col("s_start") < F.col("stop")) & (F.col("s_stop") > F.col("start")))
+    own, names = [f for f in s.schema if f.name != key], windows.columns
+    out = StructType([*windows.schema, *own])
+
+    def swept(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({f.name: pa.array([], to_arrow_type(f.dataType)) for f in out})
+        of = lambda t, a, b: np.stack([t[c].to_numpy().astype(np.int64) for c in (a, b)])
+        width, at = left["_width"][0].as_py(), left["_bin"][0].as_py()
+        i, j = sweep(of(left, "start", "stop"), of(right, "s_start", "s_stop"), at * width, (at + 1) * width)
+        met = left.select(names).take(pa.array(i))
+        for f in own:
+            met = met.append_column(f.name, right[f.name].take(pa.array(j)))
+        return met
+
+    two = binned(spans).withColumnsRenamed({"start": "s_start", "stop": "s_stop", key: "_key", "_bin": "_s_bin", "_width": "_s_width"})
+    return binned(windows).groupBy(key, "_bin").cogroup(two.groupBy("_key", "_s_bin")).applyInArrow(swept, out)
 
 
 def fixed_chunks(articles: DataFrame, size: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
+from lexspark.operators import metrics as M
 from lexspark.operators import stats as S
 from lexspark.queries.registry import load, query
 
@@ -86,11 +87,8 @@ def failing_items(spark, sf_dir):
 
 @query("select l_returnflag, (list_sort(list(l_extendedprice)))[count(*) // 2 + 1] price_p50 from lineitem group by 1")
 def upper_median(spark, sf_dir):
-    """The value at floor(n / 2) of the sorted values, by rank and count rather than one array a group."""
-    prices = load(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_extendedprice").agg(F.count("*").alias("c"))
-    total = prices.groupBy("l_returnflag").agg(F.floor(F.sum("c") / 2).alias("at"))
-    upto = F.sum("c").over(Window.partitionBy("l_returnflag").orderBy("l_extendedprice"))
-    return prices.withColumn("upto", upto).join(total, "l_returnflag").where(F.col("upto") > F.col("at")).groupBy("l_returnflag").agg(F.min("l_extendedprice").alias("price_p50"))
+    """The value at floor(n / 2) of the sorted values, by a bracket and counts rather than one array a group."""
+    return M.upper_medians(load(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", "price_p50")
 
 
 @query("select conv_id, round(avg((length(text) > 200)::int), 6) coverage, bool_and(length(text) > 200) all_points from conversations group by 1")

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_point
 from lexspark import schemas
 from lexspark.functions import external
 from lexspark.functions import text as X
@@ -196,7 +197,25 @@ def test_consensus(spark):
 
 
 def test_upper_median(spark):
-    assert spark.createDataFrame([(x,) for x in (4, 1, 3, 2)], "x int").agg(metrics.upper_median(F.col("x")).alias("m")).first().m == 3
+    assert spark.createDataFrame([("a", x) for x in (4, 1, 3, 2)], "g string, x int").transform(lambda d: metrics.upper_medians(d, ["g"], "x", "m")).first().m == 3
+
+
+def test_upper_medians_of_large_and_odd_groups(spark, monkeypatch):
+    """Many rows, skewed values, ties, nulls as values and as a group; also where the bracket is narrow."""
+    rng = random.Random(3)
+    rows = [("skew", int(rng.paretovariate(0.5))) for _ in range(20_001)] + [("ties", 7) for _ in range(9000)] + [(None, rng.choice([None, -1, 2])) for _ in range(7000)] + [("two", 1), ("two", 5), ("one", None)]
+    df = spark.createDataFrame(rows, "g string, x bigint").repartition(7)
+    want = {}
+    for g, x in rows:
+        want.setdefault(g, []).append(x or 0)
+    want = {g: sorted(x)[len(x) // 2] for g, x in want.items()}
+    for small in (metrics.SMALL, 1200, 10**9):
+        monkeypatch.setattr(metrics, "SMALL", small)
+        got = metrics.upper_medians(df, ["g"], "x", "m")
+        assert {r.g: r.m for r in got.collect()} == want
+    assert metrics.upper_medians(df.limit(0), ["g"], "x").collect() == []
+    scores = entry_point.queries()["score_costs"](spark, "/root/testdata/sf0.001")
+    assert "collect_list(coalesce(latency" not in scores._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_calls_and_caches(spark, tmp_path):
