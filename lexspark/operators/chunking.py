@@ -6,10 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.types import StructType
 
-from lexspark.functions import text as X
+from lexspark.functions import tokens
 
 MAX_TOKENS, OVERLAP, SPARE = 512, 64, 32
 #: Mean interval lengths in a bin of the overlap join.
@@ -17,43 +17,84 @@ BIN_LENGTHS = 256
 
 
 def greedy_groups(lengths: Column, limit: int, base: int = 0, gap: int = 0) -> Column:
-    """Group number of each length: a new group starts where the running sum would pass the limit. A fold, since the reset depends on the sum."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(base).cast("bigint").alias("sum"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        more = acc["sum"] + x + gap
-        new = (more > limit) & (F.size(acc["out"]) > 0)
-        n = acc["n"] + F.when(new, 1).otherwise(0)
-        return F.struct(n.alias("n"), F.when(new, base + x + gap).otherwise(more).cast("bigint").alias("sum"), F.concat(acc["out"], F.array(n)).alias("out"))
-
-    return F.aggregate(lengths, start, step)["out"]
+    """Group number of each length: a new group starts where the running sum would pass the limit. As the sum starts anew with each group, it is followed in order, once."""
+
+    @F.arrow_udf("array<int>")
+    def run(col: pa.Array) -> pa.Array:
+        out = []
+        for xs in col.to_pylist():
+            total, n, groups = base, 0, []
+            for x in xs or []:
+                if total + x + gap > limit and groups:
+                    total, n = base, n + 1
+                total += x + gap
+                groups.append(n)
+            out.append(groups if xs is not None else None)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return run(lengths)
+
+
+CHUNK = "chunk_id string, law string, article_ids array<string>, text string, part int, parts int, start int, stop int"
+
+
+def _tight(text: str) -> bool:
+    return bool(text) and not text[0].isspace() and not text[-1].isspace()
+
+
+def packed(header: str, blocks: list[str], limit: int, spans) -> list[list[str]]:
+    """Blocks in runs whose text under the header stays within the limit, each run as long as it can be.
+
+    Where lines begin and end in something else than white space, a line break parts tokens, and a run's tokens are the sum of its lines'; only around other lines is a run counted anew."""
+    size = lambda *lines: len(spans("\n".join(lines)))
+    if sum(len(b.encode()) + 1 for b in (header, *blocks)) <= limit:  # no more tokens than bytes
+        return [blocks]
+    parts: list[list[str]] = []
+    cur: list[str] = []
+    top = size(header)
+    total, plain = top, True
+    for b in blocks:
+        own, tight = size("", b), _tight(b)
+        if plain and tight:
+            n = total + own
+        else:
+            n = size(header, *cur, b)
+        if cur and n > limit:
+            parts.append(cur)
+            cur, plain = [], True
+            n = top + own if tight else size(header, b)
+        cur.append(b)
+        total, plain = n, plain and tight
+    return [*parts, cur]
+
+
+def article_chunks(articles: DataFrame, limit: int = MAX_TOKENS, tokenizer: str = tokens.WORDS) -> DataFrame:
+    """A chunk for each article under a header of law, chapter and label; longer articles are cut between paragraphs (and a paragraph that is too long alone between its items)."""
+    schema = to_arrow_schema(StructType.fromDDL(CHUNK))
 
+    def run(batches):
+        spans = tokens.opened(tokenizer)
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                header = "[" + " > ".join(x for x in (r["law"], r["chapter"], r["label"]) if x) + "]"
+                blocks: list[str] = []
+                for p in r["paragraphs"] or []:
+                    lines = [p["text"] or "", *(p["items"] or [])]
+                    whole = "\n".join(lines)
+                    blocks += lines if len(whole.encode()) > limit - SPARE and len(spans(whole)) > limit - SPARE else [whole]
+                parts = packed(header, blocks, limit, spans)
+                for i, part in enumerate(parts, 1):
+                    name = f"art:{r['article_id']}" + (f":{i}" if len(parts) > 1 else "")
+                    out.append((name, r["law"], [r["article_id"]], "\n".join([header, *part]), i, len(parts), None, None))
+            yield from _batches(out, schema)
 
-def word_count(c: Column) -> Column:
-    """Stands in for a model's tokenizer: words parted by white space."""
-    return F.when(X.strip(c) == "", 0).otherwise(F.size(F.split(X.strip(c), r"(?U)\s+"))).cast("bigint")
+    return articles.select("law", "article_id", "chapter", "label", "paragraphs").mapInArrow(run, CHUNK)
 
 
-def article_chunks(articles: DataFrame, limit: int = MAX_TOKENS, tokens=word_count) -> DataFrame:
-    """A chunk for each article under a header of law, chapter and label; longer articles are cut between paragraphs (and a paragraph that is too long alone between its items)."""
-    a = articles.withColumn("_h", F.concat(F.lit("["), F.concat_ws(" > ", F.nullif("law", F.lit("")), F.nullif("chapter", F.lit("")), F.nullif("label", F.lit(""))), F.lit("]")))
-    whole = lambda p: F.array_join(F.concat(F.array(p["text"]), p["items"]), "\n")
-    blocks = F.flatten(F.transform("paragraphs", lambda p: F.when(tokens(whole(p)) > limit - SPARE, F.concat(F.array(p["text"]), p["items"])).otherwise(F.array(whole(p)))))
-    a = a.withColumn("_b", blocks)
-    fold_start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("cur"))
-
-    def step(acc: Column, b: Column) -> Column:
-        full = (F.size(acc["cur"]) > 0) & (tokens(F.array_join(F.concat(F.array(F.col("_h")), acc["cur"], F.array(b)), "\n")) > limit)
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"), F.when(full, F.array(b)).otherwise(F.concat(acc["cur"], F.array(b))).alias("cur"))
-
-    folded = F.aggregate("_b", fold_start, step)
-    a = a.withColumn("_f", folded).withColumn("_parts", F.concat("_f.done", F.array("_f.cur")))
-    rows = a.select("law", "article_id", "_h", F.size("_parts").alias("parts"), F.posexplode("_parts").alias("_i", "_p"))
-    suffix = F.when(F.col("parts") > 1, F.concat(F.lit(":"), (F.col("_i") + 1).cast("string"))).otherwise("")
-    return rows.select(
-        F.concat(F.lit("art:"), "article_id", suffix).alias("chunk_id"), "law", F.array("article_id").alias("article_ids"),
-        F.array_join(F.concat(F.array("_h"), "_p"), "\n").alias("text"), (F.col("_i") + 1).alias("part"), "parts", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"),
-    )
+def _batches(rows: list[tuple], schema: pa.Schema, most: int = 2000):
+    for a in range(0, len(rows), most):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + most], strict=True), schema.types, strict=True)], schema=schema)
 
 
 def running_spans(rows: DataFrame, key: str, order: list[str], text: str) -> DataFrame:
@@ -111,16 +152,49 @@ def overlapping(windows: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     return binned(windows).groupBy(key, "_bin").cogroup(two.groupBy("_key", "_s_bin")).applyInArrow(swept, out)
 
 
-def fixed_chunks(articles: DataFrame, size: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
-    """Windows of words over each law's running text, with the articles that they overlap."""
-    spans = running_spans(articles.withColumn("_t", F.concat("text", F.lit("\n\n"))), "law", ["pos"], "_t")
-    laws = spans.groupBy("law").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_t"))), lambda x: x["_t"]), "").alias("stream"))
-    # places of words: the lengths of what stands before them
-    pieces = F.regexp_extract_all("stream", F.lit(r"(?U)\S+|\s+"), F.lit(0))
-    fold = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a: int, b: int>>").alias("out")), lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.when(x.rlike(r"(?U)^\s"), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(s["at"].alias("a"), (s["at"] + F.length(x)).alias("b"))))).alias("out")))
-    laws = laws.withColumn("_w", fold["out"]).withColumn("_n", F.size("_w")).where("_n > 0")
-    cut = laws.select("law", "stream", "_w", "_n", F.posexplode(windows(F.col("_n"), size, overlap)).alias("i", "t0"))
-    cut = cut.select("law", "i", F.get("_w", F.col("t0"))["a"].alias("start"), F.get("_w", F.least(F.col("t0") + size, "_n") - 1)["b"].alias("stop"), "stream")
-    cut = cut.select("law", "i", "start", "stop", X.strip(F.substring(F.col("stream"), F.col("start") + 1, F.col("stop") - F.col("start"))).alias("text"))
-    ids = overlapping(cut.drop("text"), spans.select("law", "article_id", "start", "stop", "pos"), "law").groupBy("law", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "article_id"))), lambda x: x["article_id"]).alias("article_ids"))
-    return cut.join(ids, ["law", "i"]).select(F.concat(F.lit("fixed:"), "law", F.lit(":"), F.col("i").cast("string")).alias("chunk_id"), "law", "article_ids", "text", F.lit(None).cast("int").alias("part"), F.lit(None).cast("int").alias("parts"), "start", "stop")
+def _windower(size: int, overlap: int, tokenizer: str):
+    """A table function that reads a law's articles in order and gives each window as soon as its last token is certain. It holds the text and the articles of the windows that are open, not the law."""
+
+    @F.udtf(returnType=CHUNK)
+    class Windows:
+        def __init__(self):
+            self.law, self.stream = None, tokens.Stream(tokenizer)
+            self.text, self.text_at, self.read = "", 0, 0  # what is held of the law's text, where that begins, and how much was read
+            self.spans: list[tuple[int, int, str]] = []
+            self.held: list[tuple[int, int]] = []  # tokens from number `first` on
+            self.first, self.start, self.i = 0, 0, 0
+
+        def eval(self, row):
+            self.law = row["law"]
+            text = (row["text"] or "") + "\n\n"
+            self.spans.append((self.read, self.read + len(text), row["article_id"]))
+            self.read += len(text)
+            self.text += text
+            self.held += self.stream.add(text)
+            while self.first + len(self.held) >= self.start + size:
+                yield self.window(self.start + size)
+
+        def terminate(self):
+            self.held += self.stream.add("", last=True)
+            n = self.first + len(self.held)
+            while n and self.start < max(n - overlap, 1):
+                yield self.window(min(self.start + size, n))
+
+        def window(self, stop: int):
+            a, b = self.held[self.start - self.first][0], self.held[stop - 1 - self.first][1]
+            ids = [name for s, e, name in self.spans if s < b and e > a]
+            row = (f"fixed:{self.law}:{self.i}", self.law, ids, self.text[a - self.text_at : b - self.text_at].strip(), None, None, a, b)
+            self.i, self.start = self.i + 1, self.start + size - overlap
+            self.held, self.first = self.held[self.start - self.first :], max(self.start, self.first)
+            keep = self.held[0][0] if self.held else b
+            self.text, self.text_at = self.text[keep - self.text_at :], keep
+            self.spans = [s for s in self.spans if s[1] > keep]
+            return row
+
+    return Windows
+
+
+def fixed_chunks(articles: DataFrame, size: int = MAX_TOKENS, overlap: int = OVERLAP, tokenizer: str = tokens.WORDS) -> DataFrame:
+    """Windows of tokens over each law's running text, with the articles that they overlap."""
+    rows = articles.select("law", "pos", "article_id", "text").asTable().partitionBy("law").orderBy("pos")
+    return _windower(size, overlap, tokenizer)(rows)
