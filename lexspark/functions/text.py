@@ -6,6 +6,9 @@ and white space as `(?U)\\s`, which takes in the ideographic space.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +52,28 @@ def bigram_set(c: Column | str) -> Column:
     return F.when(F.length(s) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
 
 
+#: The characters of Unicode's property White_Space, as `(?U)\\s` has them.
+_WHITE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def shared_bigrams(lines: Column | str, said: Column | str) -> Column:
+    """For each of an array of lines how many distinct bigrams (without white space) it shares with a text; the text's are made once."""
+
+    def grams(s: str | None) -> set[str]:
+        t = _WHITE.sub("", s or "")
+        return {t[i : i + 2] for i in range(len(t) - 1)}
+
+    @F.arrow_udf("array<int>")
+    def run(lines: pa.Array, said: pa.Array) -> pa.Array:
+        out = []
+        for own, text in zip(lines.to_pylist(), said.to_pylist(), strict=True):
+            asked = grams(text)
+            out.append(None if own is None else [len(asked & grams(x)) for x in own])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return run(_col(lines), _col(said))
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at either end; null becomes empty."""
     return F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"(?U)^\s+|\s+$", "")

@@ -21,9 +21,13 @@ def best_paragraph(text: Column, said: Column) -> Column:
     lines = F.slice(F.split(text, "\n"), F.lit(2), F.lit(1 << 30))
     paras = F.filter(lines, lambda p: (X.strip(p) != "") & ~X.strip(p).rlike(r"^\[[\p{L}\p{N}_]+\]$"))
     paras = F.when(F.size(paras) > 0, paras).otherwise(F.array(text))
-    target = X.bigram_set(said)
-    ranked = F.transform(paras, lambda p, i: F.struct(F.size(F.array_intersect(X.bigram_set(p), target)).alias("n"), (-i).alias("at"), p.alias("p")))
-    return F.left(F.array_max(ranked)["p"], F.lit(QUOTE))
+    return F.left(F.coalesce(best_line(paras, said)["line"], F.lit("")), F.lit(QUOTE))
+
+
+def best_line(lines: Column, said: Column) -> Column:
+    """(n, at, line): of an array's lines the one that shares most bigrams with a text, the first of equals; null lines are passed over."""
+    ranked = F.transform(F.arrays_zip(lines.alias("line"), X.shared_bigrams(lines, said).alias("n")), lambda x, i: F.when(x["line"].isNotNull(), F.struct(x["n"].alias("n"), (-i).alias("at"), x["line"].alias("line"))))
+    return F.array_max(ranked)
 
 
 def markers(answers: DataFrame) -> DataFrame:

@@ -136,8 +136,8 @@ def case_records(spark, sf_dir):
     st as (select conv_id, regexp_extract_all(string_agg(t, '' order by turn), '\S+|\s+') p, string_agg(t, '' order by turn) s from a group by 1), pc as (select conv_id, unnest(p) p, generate_subscripts(p, 1) k from st),
     po as (select conv_id, p, k, sum(length(p)) over (partition by conv_id order by k) e from pc), wd as (select conv_id, e - length(p) b, e, row_number() over (partition by conv_id order by k) - 1 n, count(*) over (partition by conv_id) total from po where regexp_matches(p, '^\S')),
     wi as (select conv_id, max(total) total, unnest(range(0, greatest(max(total) - 16, 1), 48)) t0 from wd group by 1),
-    w as (select wi.conv_id, t0 // 48 i, x.b c0, y.e c1 from wi join wd x on x.conv_id = wi.conv_id and x.n = t0 join wd y on y.conv_id = wi.conv_id and y.n = least(t0 + 64, total) - 1)
-    select 'fixed:' || w.conv_id || ':' || i chunk_id, c0::int start, c1::int stop, md5(substr(s, c0::int + 1, (c1 - c0)::int)) digest, string_agg(turn::varchar, ',' order by turn) articles from w join st using (conv_id) join sp on sp.conv_id = w.conv_id and sp.s < c1 and sp.e > c0 group by 1, 2, 3, 4"""
+    w as (select wi.conv_id, t0 // 48 i, x.b c0, y.e c1 from wi join wd x on x.conv_id = wi.conv_id and x.n = t0 join wd y on y.conv_id = wi.conv_id and y.n = least(t0 + 64, wi.total) - 1)
+    select 'fixed:' || w.conv_id || ':' || i chunk_id, c0::int start, c1::int stop, md5(substr(st.s, c0::int + 1, (c1 - c0)::int)) digest, string_agg(turn::varchar, ',' order by turn) articles from w join st using (conv_id) join sp on sp.conv_id = w.conv_id and sp.s < c1 and sp.e > c0 group by 1, 2, 3, 4"""
 )
 def token_windows(spark, sf_dir):
     """2.10 tokenizer, W08, J10: windows of 64 words that share 16 over each conversation's running text, read turn by turn, with the turns that they overlap."""

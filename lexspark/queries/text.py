@@ -112,10 +112,9 @@ def quote_argmax(spark, sf_dir):
     """The line (after the first) of an answer that shares most bigrams with the question."""
     c = load(spark, sf_dir, "conversations")
     a = c.where("role = 'assistant'").select("conv_id", "turn", "text")
-    u = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), X.bigram_set("text").alias("g"))
-    shared = lambda line: F.size(F.array_intersect(X.bigram_set(line), F.col("g")))
-    scored = F.transform(F.split("text", "\n"), lambda line, i: F.when((i > 0) & (X.strip(line) != ""), F.struct(shared(line).alias("n"), (-i).alias("at"), line.alias("line"))))
-    best = a.join(u, ["conv_id", "turn"]).select("conv_id", "turn", F.array_max(scored).alias("b")).where("b is not null")
+    u = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("said"))
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.when((i > 0) & (X.strip(line) != ""), line))
+    best = a.join(u, ["conv_id", "turn"]).select("conv_id", "turn", citations.best_line(lines, F.col("said")).alias("b")).where("b is not null")
     return best.select("conv_id", "turn", F.substring("b.line", 1, 300).alias("quote"), "b.n")
 
 
