@@ -10,13 +10,12 @@ import re
 import xml.etree.ElementTree as ET
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
 
 
-
 def _quoted(ddl: str) -> str:
     """Names outside ASCII in back quotes."""
     return re.sub(r"([가-힣]\w*)(?=:)", r"`\1`", ddl)
@@ -33,15 +32,44 @@ HEADING_UNIT = "전문"
 IN_FORCE, SCHEDULED = "현행", "시행예정"
 
 
+def file_text(path: Column) -> Column:
+    """The text of a file, by a path or an address that Arrow's file systems know (file, hdfs, s3, gs). Being a column, it is read only for rows that filters on other columns leave, and by as many tasks as the rows are in."""
+
+    @F.arrow_udf("string")
+    def run(col: pa.Array) -> pa.Array:
+        from pyarrow import fs
+
+        out = []
+        for p in col.to_pylist():
+            system, at = fs.FileSystem.from_uri(p) if re.match(r"[a-z0-9]+:/", p) else (fs.LocalFileSystem(), p)
+            with system.open_input_stream(at) as f:
+                out.append(f.read().decode("utf-8"))
+        return pa.array(out, pa.string())
+
+    return run(path)
+
+
 def documents(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame:
-    """The manifest's files with their content, one row each: manifest columns, content."""
-    paths = [f"{root.rstrip('/')}/{r.path}" for r in manifest.select("path").distinct().collect()]
-    if not paths:
-        return manifest.limit(0).withColumn("content", F.lit(""))
-    files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("_at"), F.decode("content", "UTF-8").alias("content"))
-    end = F.concat(F.lit(f"{root.rstrip('/')}/"), F.col("path"))
-    local = F.regexp_replace("_at", r"^[a-z]+:/*(?=/)", "")
-    return files.withColumn("_local", local).join(manifest.withColumn("_local", F.regexp_replace(end, r"^[a-z]+:/*(?=/)", "")), "_local").drop("_local", "_at")
+    """The manifest's files with their content, one row each: manifest columns, content. Filters on the manifest's columns, before or after, keep files from being opened; no list of files goes through the driver."""
+    at = F.concat(F.lit(f"{root.rstrip('/')}/"), F.col("path"))
+    return manifest.repartition("path").withColumn("content", file_text(at))
+
+
+def carried(values: Column) -> Column:
+    """An array of strings in which each null is what stood before it, at first empty."""
+
+    @F.arrow_udf("array<string>")
+    def run(col: pa.Array) -> pa.Array:
+        out = []
+        for xs in col.to_pylist():
+            last, own = "", []
+            for x in xs or []:
+                last = last if x is None else x
+                own.append(last)
+            out.append(own)
+        return pa.array(out, pa.list_(pa.string()))
+
+    return run(values)
 
 
 def articles(docs: DataFrame, content: str = "content", name: str = "name") -> DataFrame:
@@ -49,11 +77,13 @@ def articles(docs: DataFrame, content: str = "content", name: str = "name") -> D
     own = [c for c in docs.columns if c != content]
     doc = docs.withColumn("_d", F.from_xml(F.col(content), _STATUTE))
     units = F.concat(F.coalesce(F.col("_d.조문단위"), F.array().cast(f"array<{_UNIT}>")), F.coalesce(F.col("_d.조문.조문단위"), F.array().cast(f"array<{_UNIT}>")))
-    rows = doc.select(*own, X.strip("_d.기본정보.법령ID").alias("law_id_xml"), X.strip("_d.기본정보.시행일자").alias("version_effective"), F.posexplode(units).alias("pos", "u"))
-    heading = X.strip("u.조문여부") == HEADING_UNIT
-    # a heading's text holds from its place on; the document's own columns identify it
-    before = Window.partitionBy(*own).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("chapter", F.coalesce(F.last(F.when(heading, X.strip("u.조문내용")), True).over(before), F.lit(""))).where(~heading)
+    heading = lambda u: X.strip(u["조문여부"]) == HEADING_UNIT
+    # a heading's text holds from its place on, within its own document
+    chapters = carried(F.transform(units, lambda u: F.when(heading(u), X.strip(u["조문내용"]))))
+    both = F.arrays_zip(units.alias("u"), chapters.alias("chapter"))
+    rows = doc.select(*own, X.strip("_d.기본정보.법령ID").alias("law_id_xml"), X.strip("_d.기본정보.시행일자").alias("version_effective"), F.posexplode(both).alias("pos", "_b"))
+    rows = rows.select(*own, "law_id_xml", "version_effective", "pos", F.col("_b.u").alias("u"), F.col("_b.chapter").alias("chapter"))
+    rows = rows.where(~heading(F.col("u")))
     items = lambda h: F.filter(
         F.flatten(
             F.transform(

@@ -1,7 +1,7 @@
 import datetime
 
 import pytest
-from fixture_statutes import CASES, manifest
+from fixture_statutes import CASES, act, manifest, unit
 
 from lexspark import schemas
 from lexspark.functions import statute as S
@@ -196,3 +196,26 @@ def test_files(spark, corpus, tmp_path):
     got = ingest.read_corpus(spark, man, str(tmp_path), str(tmp_path / "cases"))
     assert got.current.count() == 6 and got.cases.count() == 2 and got.pending.count() == corpus.pending.count()
     assert xml.documents(spark, man.limit(0), str(tmp_path)).count() == 0
+
+
+def test_filters_keep_files_from_being_opened(spark, tmp_path):
+    man = manifest()
+    for row, content in man:
+        if row[3] == "현행":
+            (tmp_path / row[7]).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / row[7]).write_text(content)
+    docs = xml.documents(spark, spark.createDataFrame([r for r, _ in man], schemas.MANIFEST), str(tmp_path))
+    live = docs.where("status = '현행' and effective <= '20200101'")  # after the read, and still before it in the plan
+    assert sorted(r.content for r in live.collect()) == sorted(c for r, c in man if r[3] == "현행")
+    assert docs.where("status <> '현행'").select("name").count() == 2  # content unread, files absent
+    with pytest.raises(Exception, match="No such file|Failed to open|not found"):
+        docs.where("status <> '현행'").collect()
+    assert xml.articles(live).count() > 0
+
+
+def test_headings_stay_in_their_document(spark):
+    """Two documents that are equal but for their content, as rows of a table without keys."""
+    one = act([unit(1, head="제1장", heading=True), unit(1, "a"), unit(2, "b")])
+    two = act([unit(1, "c"), unit(9, head="제9장", heading=True), unit(2, "d")])
+    rows = xml.articles(spark.createDataFrame([("법", one), ("법", two)], "name string, content string")).collect()
+    assert {r.title: r.chapter for r in rows} == {"a": "제1장", "b": "제1장", "c": "", "d": "제9장"}
