@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
 from lexspark.sources import cache
-from lexspark.tables import stored
+from lexspark.tables import shared_dir, stored
 
 
 class HashEmbedder:
@@ -73,6 +74,7 @@ def overlap_reranker() -> Callable:
 
 
 NOT_CALLED = "not called: too many failures before"
+CAPPED = "not called: the cap on calls is reached"
 
 
 def whole_json(response: str) -> None:
@@ -80,8 +82,8 @@ def whole_json(response: str) -> None:
     json.loads(response[response.index("{") : response.rindex("}") + 1])
 
 
-def called(jobs: DataFrame, factory: Callable, key: list[str], prompt: str = "prompt", kind: str = "string", tries: int = 1, most_errors: int | None = None, check: Callable[[str], object] | None = None) -> DataFrame:
-    """Rows (key, response, error) of an external call for each job; an exception, also one that `check` raises for the response, becomes the row's error, not the job's end. A call is tried `tries` times; after `most_errors` failed rows a task makes no further calls. It is a plan: each job that reads it calls again, so `stored` or `called_once` comes first."""
+def called(jobs: DataFrame, factory: Callable, key: list[str], prompt: str = "prompt", kind: str = "string", tries: int = 1, most_errors: int | None = None, check: Callable[[str], object] | None = None, stop: str | None = None) -> DataFrame:
+    """Rows (key, response, error) of an external call for each job; an exception, also one that `check` raises for the response, becomes the row's error, not the job's end. A call is tried `tries` times; after `most_errors` failed rows a task makes no further calls. `stop` is a file in a folder that all machines share: the first failure makes it, and where it is no task begins another call; rows that are done stay. It is a plan: each job that reads it calls again, so `stored` or `called_once` comes first."""
     kinds = dict(jobs.dtypes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,7 +92,8 @@ def called(jobs: DataFrame, factory: Callable, key: list[str], prompt: str = "pr
             answers, errors = [], []
             for p in f[prompt]:
                 answer, error = None, NOT_CALLED
-                for _ in range(tries if most_errors is None or failed < most_errors else 0):
+                down = most_errors is not None and failed >= most_errors or stop is not None and _marked(stop)
+                for _ in range(0 if down else tries):
                     try:
                         answer, error = call(p), None
                         if check is not None:
@@ -100,6 +103,8 @@ def called(jobs: DataFrame, factory: Callable, key: list[str], prompt: str = "pr
                         answer = None
                         error = f"{type(e).__name__}: {e}"
                 failed += error is not None
+                if stop is not None and error is not None and not down:
+                    _mark(stop)
                 answers.append(answer)
                 errors.append(error)
             yield f[key].assign(response=answers, error=errors)
@@ -107,6 +112,24 @@ def called(jobs: DataFrame, factory: Callable, key: list[str], prompt: str = "pr
     return jobs.select(*key, prompt).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + f", response {kind}, error string")
 
 
+def _place(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:/", path) else (fs.LocalFileSystem(), path)
+
+
+def _marked(path: str) -> bool:
+    from pyarrow import fs
+
+    system, at = _place(path)
+    return system.get_file_info(at).type == fs.FileType.File
+
+
+def _mark(path: str) -> None:
+    system, at = _place(path)
+    system.open_output_stream(at).close()
+
+
 class BudgetError(RuntimeError):
     pass
 
@@ -115,8 +138,16 @@ class BudgetError(RuntimeError):
 WAVES = (0.01, 0.1, 1.0)
 
 
-def called_once(jobs: DataFrame, factory: Callable, key: list[str], prompt: str = "prompt", most_errors: int | None = None, budget: float | None = None, price: float = 0.0, **options) -> DataFrame:
-    """`called`, stored, so that each job is called once however often the result is read. With `most_errors` or a `budget` (of `price` a character of prompts and responses) the jobs go in growing waves by a hash of their key: after `most_errors` failures the rest isn't called, and once the spending has reached the budget it is an error."""
+def called_once(jobs: DataFrame, factory: Callable, key: list[str], prompt: str = "prompt", most_errors: int | None = None, budget: float | None = None, price: float = 0.0, max_calls: int | None = None, stop_at_failure: bool = False, **options) -> DataFrame:
+    """`called`, stored, so that each job is called once however often the result is read. With `most_errors` or a `budget` (of `price` a character of prompts and responses) the jobs go in growing waves by a hash of their key: after `most_errors` failures the rest isn't called, and once the spending has reached the budget it is an error. `max_calls` caps the jobs that are called in the whole run, chosen by a hash of their key; with `stop_at_failure` no task begins a call after any task's first failure."""
+    if stop_at_failure:
+        options |= {"stop": f"{shared_dir(jobs.sparkSession).rstrip('/')}/stop-{uuid.uuid4().hex}"}
+    if max_calls is not None:
+        # a limit leaves one partition, so the calls are dealt out again
+        own = stored(jobs.orderBy(F.xxhash64(*key), *key).limit(max_calls)).repartition(jobs.sparkSession.sparkContext.defaultParallelism, *key)
+        made = called_once(own, factory, key, prompt, most_errors, budget, price, **options)
+        rest = jobs.join(own.select(*key), key, "left_anti").select(*key, F.lit(None).cast(made.schema["response"].dataType).alias("response"), F.lit(CAPPED).alias("error"))
+        return made.unionByName(rest)
     if most_errors is None and budget is None:
         return stored(called(jobs, factory, key, prompt, **options))
     place = F.pmod(F.xxhash64(*key), F.lit(1000))
