@@ -144,6 +144,21 @@ def level(name: Column | str) -> Column:
     return F.when(n.endswith("시행규칙"), "시행규칙").when(n.endswith("시행령"), "시행령").otherwise("법률")
 
 
+# What laws with long names are called for short; other laws of this list keep their names.
+SHORT_LAWS = {
+    "근로기준법": "근로기준법", "최저임금법": "최저임금법", "근로자퇴직급여 보장법": "퇴직급여법", "남녀고용평등과 일ㆍ가정 양립 지원에 관한 법률": "남녀고용평등법",
+    "기간제 및 단시간근로자 보호 등에 관한 법률": "기간제법", "파견근로자 보호 등에 관한 법률": "파견법", "근로자참여 및 협력증진에 관한 법률": "근로자참여법", "임금채권보장법": "임금채권보장법",
+}
+
+
+def short_law(article_id: Column | str, names: dict[str, str] = SHORT_LAWS) -> Column:
+    """An article's law by its short name, with what tells a decree or rule from its act; null for a law without one."""
+    law = F.regexp_extract(_col(article_id), "^([^#]*)", 1)
+    suffix = F.regexp_extract(law, "( 시행규칙| 시행령)$", 1)
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.concat(known[F.regexp_replace(law, "( 시행규칙| 시행령)$", "")], suffix)
+
+
 def numbered(key: Column | str) -> Column:
     """`43의2` as `제43조의2`."""
     k = _col(key)

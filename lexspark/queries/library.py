@@ -14,9 +14,9 @@ from lexspark.functions import external
 from lexspark.functions import statute as S
 from lexspark.functions import text as X
 from lexspark.operators import chunking, citations, expand, graph, metrics
-from lexspark.plans import answer, evaluate
+from lexspark.plans import answer, evaluate, review
 from lexspark.queries.registry import load, query
-from lexspark.sources import graphjson, jsonl, reports, rest, vectors, xml
+from lexspark.sources import graphjson, jsonl, ledger, reports, rest, vectors, xml
 from lexspark.tables import shared_dir, stored
 
 
@@ -443,7 +443,11 @@ SCORED = """l as (select l_orderkey id, list(distinct 'p' || l_partkey % 7) ever
 
 
 def _item_scores(spark, sf_dir) -> DataFrame:
-    """An order is a question, its lines are what was retrieved (returned ones over a link, open ones are cited); the rest comes from its keys."""
+    return metrics.item_scores(*_items(spark, sf_dir))
+
+
+def _items(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Gold, predictions, judgments and splits. An order is a question, its lines are what was retrieved (returned ones over a link, open ones are cited); the rest comes from its keys."""
     part = F.array(_said("p", F.col("l_partkey") % 7)).alias("article_ids")
     l = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(  # noqa: E741
         F.collect_list(F.struct(F.col("l_linenumber").alias("rank"), part, (F.col("l_returnflag") == "R").alias("linked"))).alias("retrieval"),
@@ -464,7 +468,7 @@ def _item_scores(spark, sf_dir) -> DataFrame:
     grade = F.struct(points.alias("key_points"), (c % 13 == 0).alias("temporal_error"), (c % 4 != 0).alias("asserts_conclusion"))
     judgments = o.where(k % 7 != 0).select(k.alias("id"), grade.alias("grade"), F.struct((c % 5).alias("n_claims"), (c % 2).alias("n_unsupported")).alias("grounding"))
     splits = o.where(k % 10 != 0).select(k.alias("id"), F.when(k % 2 == 0, "dev").otherwise("test").alias("split"))
-    return metrics.item_scores(gold, predictions, judgments, splits)
+    return gold, predictions, judgments, splits
 
 
 ROUNDED = ("m1_rr", "m3_citation_precision", "m3_citation_recall", "m4_kp_coverage", "m5_unsupported_rate")
@@ -523,6 +527,75 @@ def review_payloads(spark, sf_dir):
     return c.groupBy("conv_id").agg(reports.payload("turn", "role", "mark").alias("payload"))
 
 
+# --- reviews -------------------------------------------------------------------------
+
+_SORTED = "array_to_string(list_sort({}), ',')"
+
+
+@query(
+    f"with {SCORED} select id, {_SORTED.format('gs')} gold, {_SORTED.format('list_intersect(gs, searched)')} found_search, {_SORTED.format('list_filter(gs, lambda x: list_contains(every, x) and not list_contains(searched, x))')} found_link,"
+    f" {_SORTED.format('list_filter(gs, lambda x: not list_contains(every, x))')} missing, (select count(*) from lineitem where l_orderkey = id)::int retrieved from g join l using (id)"
+)
+def item_report(spark, sf_dir):
+    """An item's evidence by how it was found."""
+    gold, predictions, judgments, splits = _items(spark, sf_dir)
+    rows = review.item_report(gold.withColumn("question", F.lit("q")), predictions, metrics.item_scores(gold, predictions, judgments, splits))
+    joined = [F.array_join(c, ",").alias(c) for c in ("gold", "found_search", "found_link", "missing")]
+    return rows.select("id", *joined, F.size("retrieved").alias("retrieved"))
+
+
+@query(
+    """with v as (select o_custkey id, o_orderkey % 3 point, o_orderkey run, case when o_orderkey % 9 > 0 then o_totalprice > 150000 end a, o_totalprice > 150000 + 1000 * (o_orderkey % 2) b, o_totalprice > 150000 or o_orderkey % 7 = 0 c from orders),
+    g as (select id, point, bool_and(a = b and b = c) agreed, arg_min({'run': run, 'verdict': a}, md5(concat_ws(':', '0', id, point, run))) s from v where a is not null and b is not null and c is not null group by 1, 2) select id, point, s.run run, s.verdict verdict from g where agreed"""
+)
+def blind_cards(spark, sf_dir):
+    """Points that all judges agree on in every run, and the run that is shown."""
+    k, t = F.col("o_orderkey"), F.col("o_totalprice")
+    v = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), (k % 3).alias("point"), k.alias("run"), F.when(k % 9 > 0, t > 150000).alias("a"), (t > 150000 + 1000 * (k % 2)).alias("b"), ((t > 150000) | (k % 7 == 0)).alias("c"))
+    return review.blind_cards(v, ["a", "b", "c"])
+
+
+@query(f"with {NODES} select '#' || n article_id, md5(array_to_string(list_concat(flatten(list_transform(range(pending), lambda i: ['x', 'x', 'x'])), flatten(list_transform(range(sunsets), lambda i: ['x', 'x']))), chr(10))) facts from w")
+def temporal_facts(spark, sf_dir):
+    """All that a node says about time, as one text."""
+    return _nodes(spark, sf_dir).select("article_id", F.md5(review.temporal_text()).alias("facts"))
+
+
+@query(
+    f"""with {NODES}, it as (select n id, ['#' || n, '#' || n // 2, '#' || n % 13] || case when n % 4 = 0 then ['판례#' || n] else [] end ev from w), e as (select id, ev, unnest(ev) a from it), j as (select distinct id, ev, a, w.n, pending, cur from e left join w on '#' || w.n = a),
+    x as (select id, bool_or(list_contains(list_transform(list_filter(ev, lambda b: b like '#%' and try_cast(substr(b, 2) as bigint) > 13 and try_cast(substr(b, 2) as bigint) % 13 = n and try_cast(substr(b, 2) as bigint) % 3 = 0), lambda b: 1), 1) and n is not null) exception,
+    bool_or(n is not null and n % 3 > 0) split, bool_or(n is not null and (pending > 0 or not cur)) temporal, bool_or(n is not null and len(list_filter(ev, lambda b: b like '#%' and try_cast(substr(b, 2) as bigint) // 2 = n)) > 0) delegation, bool_or(a like '판례#%') precedent from j group by 1)
+    select id, array_to_string(list_filter([case when exception then 'exception' end, case when split then 'split' end, case when temporal then 'temporal' end, case when delegation then 'delegation' end, case when precedent then 'precedent' end], lambda t: t is not null), ',') tags from x"""
+)
+def item_tags(spark, sf_dir):
+    """The tags of an item by its evidence's nodes, texts and chunks."""
+    w = stored(_nodes(spark, sf_dir))
+    n = F.substring(F.col("article_id"), F.lit(2), F.lit(20)).cast("bigint")
+    evidence = F.concat(F.array("article_id", _said("#", F.floor(n / 2)), _said("#", n % 13)), F.when(n % 4 == 0, F.array(_said("판례#", n))).otherwise(F.array().cast("array<string>")))
+    items = w.select(n.alias("id"), F.lit("a").alias("as_of"), evidence.alias("gold_evidence"), F.array(F.array(F.lit("al pha"), F.lit("no")), F.array(F.lit("beta"))).alias("key_point_literals"))
+    chunks = w.select(F.array("article_id").alias("article_ids"), F.explode(F.sequence(F.lit(0), n % 3)).alias("i")).select("article_ids", _said(F.col("article_ids")[0], ":", F.col("i")).alias("chunk_id"), _one_of(F.col("i"), "alpha", "x be ta", "none").alias("text"))
+    tags = review.item_tags(items, w, chunks, w.select("article_id", F.lit("t").alias("text")))
+    return tags.select("id", F.array_join("tags", ",").alias("tags"))
+
+
+@query("select o_orderkey id, [" + ", ".join(f"'{v}'" for v in X.SHORT_LAWS.values()) + "][o_orderkey % 8 + 1] || ['', ' 시행령', ' 시행규칙'][o_custkey % 3 + 1] short from orders")
+def short_laws(spark, sf_dir):
+    """Laws by their short names."""
+    law = _said(_one_of(F.col("o_orderkey") % 8, *X.SHORT_LAWS), _one_of(F.col("o_custkey") % 3, "", " 시행령", " 시행규칙"), "#", F.col("o_orderkey"), "의2")
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), X.short_law(law).alias("short"))
+
+
+@query("select event_id, user_id, case when event_id % 3 = 0 then 'first' else 'second' end verdict from events")
+def ledger_appends(spark, sf_dir):
+    """Two jobs append verdicts to a ledger, the second for all keys and twice; each key is held once, as it came first."""
+    path = f"{shared_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    e = load(spark, sf_dir, "events").select("event_id", "user_id")
+    ledger.append(e.where("event_id % 3 = 0").withColumn("verdict", F.lit("first")), path, ["event_id"])
+    for _ in range(2):
+        ledger.append(e.withColumn("verdict", F.lit("second")), path, ["event_id"])
+    return ledger.read(spark, path).select("event_id", "user_id", "verdict")
+
+
 # --- parsers -------------------------------------------------------------------------
 
 
