@@ -14,15 +14,8 @@ from lexspark.sources import postings
 from lexspark.tables import shared_dir
 
 TOKENS = "flatten(list_transform(regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: case when length(w) = 1 then [w] else list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) end))"
-ASK = "that onesen"
 E = "e as (select vec_id, embedding::double[] v, label from embeddings), q as (select vec_id query_id, v qv, label ql from e where vec_id % 50 = 0)"
 SCORED = f"{E}, s as (select query_id, ql, vec_id, label, list_inner_product(v, qv) score from e, q where vec_id <> query_id), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)"
-BM25 = f"""tok as (select doc_id, {TOKENS.format(c="text")} t from documents), len as (select doc_id, len(t)::double n from tok),
-    st as (select count(*)::double n, avg(n) m from len), qt as (select distinct unnest({TOKENS.format(c=f"'{ASK}'")}) t),
-    p as (select t, doc_id, count(*)::double tf from (select doc_id, unnest(t) t from tok) where t in (select t from qt) group by all),
-    df as (select t, count(*)::double df from p group by 1),
-    b as (select doc_id, sum(ln(1 + (st.n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len.n / st.m))) score from p join df using (t) join len using (doc_id), st group by 1),
-    bm as (select *, row_number() over (order by round(score, 9) desc, doc_id) rank from b)"""
 
 
 def _vectors(spark, sf_dir):
@@ -70,30 +63,31 @@ def dense_topk(spark, sf_dir):
 
 
 @query(
-    f"""with e as (select vec_id, embedding::double[] v from embeddings), {BM25},
-    c as (select vec_id doc_id, list_inner_product(v, (select v from e where vec_id = 0)) cos from e where vec_id in (select doc_id from documents)),
-    d as (select *, row_number() over (order by cos desc, doc_id) rank from c),
-    f as (select doc_id, sum(w) fused from (select doc_id, 1.0::double / (60 + rank) w from d where rank <= 50 union all select doc_id, 0.5::double / (60 + rank) from (select doc_id, row_number() over (order by round(score, 9) desc, doc_id) rank from b where doc_id in (select vec_id from e)) where rank <= 50) group by 1),
-    k as (select *, row_number() over (order by round(fused, 12) desc, doc_id) rank from f)
-    select rank::int rank, doc_id, round(fused, 6) fused, round(cos, 6) score from k join c using (doc_id) where rank <= 10"""
+    f"""with dv as (select doc_id, text from documents where doc_id in (select vec_id from embeddings)), e as (select vec_id, embedding::double[] v from embeddings where vec_id in (select doc_id from documents)),
+    tok as (select doc_id, {TOKENS.format(c="text")} t from dv), len as (select doc_id, len(t)::double n from tok), st as (select count(*)::double n, avg(n) m from len),
+    p as (select t, doc_id, count(*)::double tf from (select doc_id, unnest(t) t from tok) group by all), df as (select t, count(*)::double df from p group by 1), qt as (select doc_id query_id, t from p where doc_id % 50 = 0),
+    b as (select query_id, p.doc_id, sum(ln(1 + (st.n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len.n / st.m))) score from qt join p using (t) join df using (t) join len on len.doc_id = p.doc_id, st group by 1, 2),
+    c as (select q.vec_id query_id, e.vec_id doc_id, list_inner_product(e.v, q.v) cos from e, e q where q.vec_id % 50 = 0),
+    r as (select query_id, doc_id, 1.0::double / (60 + row_number() over (partition by query_id order by cos desc, doc_id)) w, row_number() over (partition by query_id order by cos desc, doc_id) k from c
+    union all select query_id, doc_id, 0.5::double / (60 + row_number() over (partition by query_id order by round(score, 9) desc, doc_id)), row_number() over (partition by query_id order by round(score, 9) desc, doc_id) from b),
+    f as (select query_id, doc_id, sum(w) fused from r where k <= 50 group by 1, 2), k as (select *, row_number() over (partition by query_id order by round(fused, 12) desc, doc_id) rank from f)
+    select query_id, rank::int rank, doc_id, round(fused, 6) fused, round(cos, 6) score from k join c using (query_id, doc_id) where rank <= 10"""
 )
 def rrf_hybrid(spark, sf_dir):
-    """Documents with a vector; the gate's score is the cosine, also for hits of BM25 alone."""
-    e = _vectors(spark, sf_dir)
-    docs = load(spark, sf_dir, "documents").select("doc_id")
-    e = e.join(docs, e.vec_id == docs.doc_id, "left_semi")
-    q = _vectors(spark, sf_dir).where("vec_id = 0").select(F.lit(0).cast("bigint").alias("query_id"), "embedding")
-    dense = R.scored(e, q, R.CANDIDATES, skip_self=False).withColumnRenamed("vec_id", "doc_id")
-    asked = spark.createDataFrame([(0, ASK)], "query_id bigint, query string")
-    scores = R.bm25(load(spark, sf_dir, "documents"), asked)
-    scores = scores.join(e.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    lexical = R.top_k(scores, R.CANDIDATES, ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")])
+    """Each document whose id is divisible by 50, by its vector and its whole text, against all documents with a vector; the gate's score is the cosine, also for hits of BM25 alone."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    e = _vectors(spark, sf_dir).join(docs, F.col("vec_id") == F.col("doc_id"), "left_semi").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = docs.join(e, "doc_id", "left_semi")
+    asked = lambda df: df.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    dense = R.scored(e, asked(e), R.CANDIDATES, doc_id="doc_id", skip_self=False)
+    path = f"{shared_dir(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
+    postings.write(docs, path)
+    lexical = postings.search(postings.read(spark, path), asked(docs).withColumnRenamed("text", "query"), R.CANDIDATES)
     fused = R.rrf([(dense, 1.0), (lexical, R.BM25_WEIGHT)])
     top = R.top_k(fused, 10, ["query_id"], [F.desc(F.round("fused", 12)), F.asc("doc_id")])
-    hit = e.join(top.select("doc_id"), F.col("vec_id") == F.col("doc_id"), "left_semi").withColumn("q", q.select("embedding").scalar())
+    both = top.join(e, "doc_id").join(asked(e).withColumnRenamed("embedding", "q"), "query_id")
     dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    cos = hit.select(F.col("vec_id").alias("doc_id"), dot.alias("score"))
-    return top.join(cos, "doc_id").select("rank", "doc_id", F.round("fused", 6).alias("fused"), F.round("score", 6).alias("score"))
+    return both.select("query_id", "rank", "doc_id", F.round("fused", 6).alias("fused"), F.round(dot, 6).alias("score"))
 
 
 @query(
