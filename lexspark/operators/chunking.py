@@ -14,6 +14,8 @@ from lexspark.functions import tokens
 MAX_TOKENS, OVERLAP, SPARE = 512, 64, 32
 #: Mean interval lengths in a bin of the overlap join.
 BIN_LENGTHS = 256
+#: Rows of both sides that meet in a call, about.
+SLOT_ROWS = 100_000
 
 
 def greedy_groups(lengths: Column, limit: int, base: int = 0, gap: int = 0) -> Column:
@@ -134,22 +136,39 @@ def overlapping(windows: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     first, last = F.floor(F.col("start") / F.col("_width")), F.floor((F.col("stop") - 1) / F.col("_width"))
     binned = lambda df: df.where("stop > start").join(width, key).withColumn("_bin", F.explode(F.sequence(first, last)))
     s = spans.withColumnsRenamed({"start": "s_start", "stop": "s_stop"})
-    own, names = [f for f in s.schema if f.name != key], windows.columns
-    out = StructType([*windows.schema, *own])
+    own_fields, names = [f for f in s.schema if f.name != key], windows.columns
+    out = StructType([*windows.schema, *own_fields])
 
     def swept(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({f.name: pa.array([], to_arrow_type(f.dataType)) for f in out})
-        of = lambda t, a, b: np.stack([t[c].to_numpy().astype(np.int64) for c in (a, b)])
-        width, at = left["_width"][0].as_py(), left["_bin"][0].as_py()
-        i, j = sweep(of(left, "start", "stop"), of(right, "s_start", "s_stop"), at * width, (at + 1) * width)
-        met = left.select(names).take(pa.array(i))
-        for f in own:
-            met = met.append_column(f.name, right[f.name].take(pa.array(j)))
+        of = lambda t, *cs: np.stack([t[c].to_numpy().astype(np.int64) for c in cs])
+        w, s, at, width = of(left, "start", "stop"), of(right, "s_start", "s_stop"), left["_bin"].to_numpy(), left["_width"].to_numpy()
+        # the bins of the slot, numbered alike on both sides
+        marks = np.concatenate([of(left, "_h1", "_h2"), of(right, "_h1", "_h2")], axis=1)
+        order = np.lexsort(marks)
+        code = np.empty(len(order), np.int64)
+        code[order] = np.cumsum(np.append(0, (np.diff(marks[:, order]) != 0).any(0)))
+        lc, rc = code[: left.num_rows], code[left.num_rows :]
+        lo, ro = np.argsort(lc, kind="stable"), np.argsort(rc, kind="stable")
+        found = []
+        for c in np.intersect1d(lc, rc):
+            own = lo[slice(*np.searchsorted(lc, [c, c + 1], sorter=lo))]
+            other = ro[slice(*np.searchsorted(rc, [c, c + 1], sorter=ro))]
+            begin = at[own[0]] * width[own[0]]
+            i, j = sweep(w[:, own], s[:, other], begin, begin + width[own[0]])
+            found.append((own[i], other[j]))
+        i, j = (pa.array(np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64)) for k in range(2))
+        met = left.select(names).take(i)
+        for f in own_fields:
+            met = met.append_column(f.name, right[f.name].take(j))
         return met
 
-    two = binned(spans).withColumnsRenamed({"start": "s_start", "stop": "s_stop", key: "_key", "_bin": "_s_bin", "_width": "_s_width"})
-    return binned(windows).groupBy(key, "_bin").cogroup(two.groupBy("_key", "_s_bin")).applyInArrow(swept, out)
+    # a task's call takes many small bins, told apart by two hashes of 96 bits together
+    slots = max(2 * windows.sparkSession.sparkContext.defaultParallelism, (windows.count() + spans.count()) // SLOT_ROWS)
+    told = lambda df: df.withColumns({"_h1": F.xxhash64(key, "_bin"), "_h2": F.hash(key, "_bin")}).withColumn("_slot", F.pmod("_h1", F.lit(slots)))
+    two = told(binned(spans)).withColumnsRenamed({"start": "s_start", "stop": "s_stop", key: "_key", "_bin": "_s_bin", "_width": "_s_width", "_slot": "_s_slot"})
+    return told(binned(windows)).groupBy("_slot").cogroup(two.groupBy("_s_slot")).applyInArrow(swept, out)
 
 
 def _windower(size: int, overlap: int, tokenizer: str):
