@@ -64,3 +64,15 @@ def test_temporal_text(spark):
 def test_short_laws(spark):
     names = ["근로자퇴직급여 보장법#3", "파견근로자 보호 등에 관한 법률 시행령#1의2", "최저임금법 시행규칙", "모르는 법#1"]
     assert [r.s for r in spark.createDataFrame([(n,) for n in names], "n string").select(X.short_law("n").alias("s")).collect()] == ["퇴직급여법", "파견법 시행령", "최저임금법 시행규칙", None]
+
+
+def test_tags_over_a_node_that_all_refer_to(spark):
+    """The node's many edges are met as rows; none of its items gets the whole map."""
+    n = 300
+    hub = ("가법#0", True, [], [], [f"가법#{i}" for i in range(2, n, 3)], {f"가법#{i}": "exception" if i % 2 else "plain" for i in range(1, n)})
+    items = spark.createDataFrame([(str(i), "2026-10-01", ["가법#0", f"가법#{i}", None], None) for i in range(1, n)], ITEM)
+    none = spark.createDataFrame([], "article_ids array<string>, chunk_id string, text string"), spark.createDataFrame([], "article_id string, text string")
+    got = review.item_tags(items, spark.createDataFrame([hub], NODE), *none)
+    assert {r.id: r.tags for r in got.collect()} == {str(i): ["exception"] * (i % 2) + ["delegation"] * (i % 3 == 2) for i in range(1, n)}
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "gold_evidence" in x]
+    assert joins and not any("referenced_by_cues" in x or "implementing_provisions" in x for x in joins)
