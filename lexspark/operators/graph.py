@@ -131,6 +131,32 @@ def inverted(edges: DataFrame, dst: str = "dst", src: str = "src", name: str = "
     return edges.groupBy(dst).agg(F.array_sort(F.collect_set(src)).alias(name))
 
 
+def sharing(hits: DataFrame, strong: DataFrame, most: int, each: int) -> DataFrame:
+    """(q, src, n, cue, rank, k): for each q the first `most` other sources of its hits' targets, by the number of shared targets, strongest cue, first shared hit and id. hits: q, dst, pos, at most `each` (a few) of a q; strong: src, dst, r; both once for a pair.
+
+    Questions and sources that share a target aren't paired. For each set of targets that are hits together, the first sources that have all of them are found once, by (strongest cue, id): those that share no more than the set stand in that order in every question, and those that share more come earlier. So the first `most` of a question are among the first `most` (and itself) of its hits' subsets. Sources are only cut into the sets that some question asks for."""
+    w = lambda *by: Window.partitionBy(*by)
+    own = hits.groupBy("q").agg(F.array_sort(F.collect_list("dst")).alias("_hits"), F.map_from_entries(F.collect_list(F.struct("dst", "pos"))).alias("_pos"))
+    # a question's subsets, the empty one left out
+    subsets = F.filter(F.aggregate("_hits", F.array(F.array().cast("array<string>")), lambda have, d: F.concat(have, F.transform(have, lambda s: F.concat(s, F.array(d))))), lambda s: F.size(s) > 0)
+    kinds = own.select("_hits").distinct().select("_hits", F.explode(subsets).alias("set"))
+    asked = kinds.select("set").distinct()
+    level = strong.select("src", F.array("dst").alias("set"), "r").join(asked, "set", "left_semi")
+    every, single = level, level.select("src", F.col("set")[0].alias("_next"), F.col("r").alias("_r"))
+    for n in range(2, each + 1):
+        # a source's sets of n grow from its asked ones of n - 1
+        grown = level.join(single, "src").where(F.col("_next") > F.element_at("set", -1))
+        level = grown.select("src", F.concat("set", F.array("_next")).alias("set"), F.least("r", "_r").alias("r")).join(asked, "set", "left_semi")
+        every = every.unionByName(level)
+    first = every.select("set", "r", "src").withColumn("_k", F.row_number().over(w("set").orderBy("r", "src"))).where(F.col("_k") <= most + 1).drop("_k")
+    # the sources of a kind of hits, each with the largest set that it shares
+    found = kinds.join(first, "set").groupBy("_hits", "src").agg(F.max_by(F.struct("set", "r"), F.size("set")).alias("_s")).select("_hits", "src", "_s.set", F.col("_s.r").alias("cue"))
+    shared = own.join(found, "_hits").where(F.col("q") != F.col("src"))
+    rank = F.array_min(F.transform("set", lambda d: F.col("_pos")[d]))
+    rows = shared.select("q", "src", F.size("set").cast("bigint").alias("n"), "cue", rank.alias("rank"))
+    return rows.withColumn("k", F.row_number().over(w("q").orderBy(F.desc("n"), "cue", "rank", "src"))).where(F.col("k") <= most)
+
+
 def nodes_wide(current: DataFrame, pending: DataFrame, expiry: DataFrame, delegated: DataFrame, referred: DataFrame, linked: DataFrame, cases: DataFrame) -> DataFrame:
     """A row for each article in force or to come, with its edges nested."""
     nest = lambda df, key, cols, name, order: df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*cols).alias("_v")))), lambda x: x["_v"]).alias(name)).withColumnRenamed(key, "article_id")

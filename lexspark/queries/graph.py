@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexspark.functions import text as X
 from lexspark.operators import graph as G
 from lexspark.queries.registry import load, query
+from lexspark.tables import stored
 
 # a page's links: src is the page, dst the word linked to; the cue comes from the word
 LINKS = """raw as (select page_id src, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) dst, generate_subscripts(regexp_extract_all(html, 'href="/([^"]*)"', 1), 1) - 1 pos from pages),
@@ -89,13 +90,11 @@ def link_expand(spark, sf_dir):
     r as (select *, row_number() over (partition by q order by n desc, cue, rank, src) k from c) select q, src, n::bigint n, k::int k from r where k <= 2"""
 )
 def reverse_expand(spark, sf_dir):
-    """Sources that share strong targets with the first hits; a target that very many pages have is met once for each."""
-    e = _links(spark, sf_dir)
+    """Sources that share strong targets with the first hits, however many share them."""
+    e = stored(_links(spark, sf_dir))
     strong = G.strongest(e).withColumn("r", X.cue_rank("cue")).where("r < 2").select("src", "dst", "r")
     h = e.groupBy(F.col("src").alias("q"), "dst").agg(F.min("pos").alias("pos")).where("pos < 3")
-    c = h.join(strong, "dst").where("q <> src").groupBy("q", "src").agg(F.countDistinct("dst").alias("n"), F.min("r").alias("cue"), F.min("pos").alias("rank"))
-    w = Window.partitionBy("q").orderBy(F.desc("n"), "cue", "rank", "src")
-    return c.withColumn("k", F.row_number().over(w)).where("k <= 2").select("q", "src", "n", "k")
+    return G.sharing(h, strong, 2, 3).select("q", "src", "n", "k")
 
 
 VERSIONS = "v as (select user_id, event_type, (day(ts) - 1) // 7 w, count(*) body from events group by all)"
