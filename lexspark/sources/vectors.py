@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from lexspark.operators.retrieval import top_k
+from lexspark.operators.retrieval import DIGITS, SLICE_SCORES, top_k
 from lexspark.tables import stored
 
 #: Vectors that the centroids are fitted on, at most; and cells, at most.
@@ -68,6 +68,13 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(n, len(flat) // n) if n else np.empty((0, 0))
 
 
+def _parts(n: int, each: int):
+    """Bounds of parts of n rows, so that a part with `each` numbers a row is bounded."""
+    step = max(1, SLICE_SCORES // max(1, each))
+    for a in range(0, n, step):
+        yield a, min(n, a + step)
+
+
 def cell_count(n: int) -> int:
     """Half the root of the number of vectors, so that centroids and a cell's vectors grow alike."""
     return int(min(MOST_CELLS, max(1, np.ceil(np.sqrt(n) / 2))))
@@ -93,9 +100,12 @@ def fit_cells(sample: np.ndarray, cells: int, rounds: int = FIT_ROUNDS) -> np.nd
 def nearest_cells(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centroid of each row and the distance from it."""
     at = np.empty(len(x), np.int64)
-    for a in range(0, len(x), 4096):
-        at[a : a + 4096] = ((centres * centres).sum(1)[None, :] - 2 * (x[a : a + 4096] @ centres.T)).argmin(1)
-    return at, np.sqrt(np.square(x - centres[at]).sum(1)) if len(x) else np.empty(0)
+    far = np.empty(len(x))
+    own = (centres * centres).sum(1)[None, :]
+    for a, b in _parts(len(x), len(centres)):
+        at[a:b] = (own - 2 * (x[a:b] @ centres.T)).argmin(1)
+        far[a:b] = np.sqrt(np.square(x[a:b] - centres[at[a:b]]).sum(1))
+    return at, far
 
 
 def write(rows: DataFrame, path: str, name: str, model: str, query_prefix: str = "", id: str = "vec_id", vector: str = "embedding", cells: int | None = None, sample: int = SAMPLE) -> None:
@@ -139,38 +149,53 @@ def _reached(index: VectorIndex, vector: Column, probes: int, least: Column | No
     """The cells that a query asks for: the `probes` nearest ones, or with `least` those beyond them whose bound reaches it."""
     sent = index.rows.sparkSession.sparkContext.broadcast((index.centroids, index.radius))
 
-    def cells(q: np.ndarray, floor: np.ndarray | None) -> list:
+    def cells(q: np.ndarray, floor: np.ndarray | None) -> pa.Array:
         centres, radius = sent.value
-        dot = q @ centres.T
-        order = np.argsort(-dot, axis=1, kind="stable")
-        if floor is None:
-            return order[:, :probes].tolist()
-        bound = dot + np.sqrt((q * q).sum(1))[:, None] * radius[None, :]
-        open_ = bound * (1 + SLACK * np.sign(bound)) + SLACK >= floor[:, None]
-        np.put_along_axis(open_, order[:, :probes], False, axis=1)
-        return [np.flatnonzero(x).tolist() for x in open_]
+        size, found = np.zeros(len(q), np.int64), []
+        for a, b in _parts(len(q), len(centres)):
+            dot = q[a:b] @ centres.T
+            order = np.argsort(-dot, axis=1, kind="stable")[:, :probes]
+            if floor is None:
+                size[a:b] = order.shape[1]
+                found.append(order.ravel().astype(np.int32))
+                continue
+            bound = dot + np.sqrt((q[a:b] * q[a:b]).sum(1))[:, None] * radius[None, :]
+            open_ = bound * (1 + SLACK * np.sign(bound)) + SLACK >= floor[a:b, None]
+            np.put_along_axis(open_, order, False, axis=1)
+            size[a:b] = open_.sum(1)
+            found.append(np.nonzero(open_)[1].astype(np.int32))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *found])))
 
     if least is None:
 
         @F.arrow_udf("array<int>")
         def run(q: pa.Array) -> pa.Array:
-            return pa.array(cells(_matrix(q), None), pa.list_(pa.int32()))
+            return cells(_matrix(q), None)
 
         return run(vector)
 
     @F.arrow_udf("array<int>")
     def run_least(q: pa.Array, floor: pa.Array) -> pa.Array:
-        return pa.array(cells(_matrix(q), np.asarray(floor, float)), pa.list_(pa.int32()))
+        return cells(_matrix(q), np.asarray(floor, float))
 
     return run_least(vector, least)
 
 
-def _best(q: np.ndarray, known: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int):
-    """Each query's k best of some vectors, and what ties with the k-th: query ids, ids, scores."""
-    s = q @ x.T
-    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if k < s.shape[1] else np.full(len(s), -np.inf)
-    i, j = np.nonzero(s >= least[:, None])
-    return known[i], ids[j], s[i, j]
+def _best(q: np.ndarray, known: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best of some vectors, by (score, id): query ids, ids, scores. A bounded number of scores is held at a time."""
+    place = np.unique(ids, return_inverse=True)[1]
+    out = [(known[:0], ids[:0], np.empty(0))]
+    for a, b in _parts(len(q), len(x)):
+        s = np.round(q[a:b] @ x.T, DIGITS)
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if k < s.shape[1] else np.full(len(s), -np.inf)
+        i, j = np.nonzero(s >= least[:, None])
+        if len(i) > k * len(s):  # of what ties with the k-th, the least ids
+            order = np.lexsort((place[j], -s[i, j], i))
+            i, j = i[order], j[order]
+            top = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+            i, j = i[top], j[top]
+        out.append((known[a:b][i], ids[j], s[i, j]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _kind(df: DataFrame, name: str) -> str:
@@ -224,7 +249,7 @@ def _matched(index: VectorIndex, asks: DataFrame, k: int, few: int) -> DataFrame
             return table([])
         q, x = _matrix(one["q"].combine_chunks()), _matrix(two["v"].combine_chunks())
         known, ids = one["query_id"].to_numpy(), two["id"].to_numpy()
-        return table([_best(q[a : a + 256], known[a : a + 256], x, ids, k) for a in range(0, len(q), 256)])
+        return table([_best(q, known, x, ids, k)])
 
     keys = ["cell", "a", "b"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(multiplied, out)

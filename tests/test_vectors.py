@@ -107,3 +107,13 @@ def test_cells_are_means():
     at, far = V.nearest_cells(x, c)
     assert len({*at.tolist()}) == 3 and far.max() <= 0.51
     assert V.fit_cells(np.empty((0, 0)), 4).shape == (0, 0) and len(V.fit_cells(x, 9)) == 5
+
+
+def test_a_group_of_copies_gives_each_query_k_rows_by_id():
+    x = np.repeat(np.eye(4), 2000, axis=0)
+    ids = np.arange(8000)[::-1].copy()
+    q, known = np.eye(4)[[0, 3] * 300] + 0.0, np.arange(600)
+    who, found, score = V._best(q, known, x, ids, 3)
+    assert len(who) == 1800 and (score == 1).all()
+    assert found.reshape(600, 3)[:2].tolist() == [[6000, 6001, 6002], [0, 1, 2]]
+    assert all((b - a) * 8000 <= V.SLICE_SCORES for a, b in V._parts(600, 8000))
