@@ -168,14 +168,15 @@ def nodes_wide(current: DataFrame, pending: DataFrame, expiry: DataFrame, delega
     newest = linked.join(cases.select("id", "decided"), "id").groupBy("article_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("decided", "id")), False), lambda x: x["id"]).alias("precedents"))
     ids = current.select("article_id").union(pending.select("article_id")).distinct()
     own = current.select("article_id", "law", "level", "label", F.lit(True).alias("in_current"))
-    out = ids.join(own, "article_id", "left")
+    # all sides grow with the graph; by their few columns they look small to the planner, which would send them whole through the driver
+    out = ids.join(own.hint("merge"), "article_id", "left")
     law = F.coalesce("law", F.regexp_extract("article_id", "^([^#]*)", 1))
     out = out.select("article_id", law.alias("law"), F.coalesce("level", X.level(law)).alias("level"), "label", F.coalesce("in_current", F.lit(False)).alias("in_current"))
     for part in (p, s, parents, children, cues("src", "dst", "reference_cues"), cues("dst", "src", "referenced_by_cues"), newest):
         name = part.columns[1]
         kind = dict(part.dtypes)[name]
         empty = (F.create_map() if kind.startswith("map") else F.array()).cast(kind)
-        out = out.join(part, "article_id", "left").withColumn(name, F.coalesce(name, empty))
+        out = out.join(part.hint("merge"), "article_id", "left").withColumn(name, F.coalesce(name, empty))
     return out.withColumn("references", F.map_keys("reference_cues")).withColumn("referenced_by", F.map_keys("referenced_by_cues"))
 
 

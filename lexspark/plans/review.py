@@ -70,26 +70,26 @@ def overrides(article_id: Column, other_id: Column, other_text: Column) -> Colum
 def item_tags(items: DataFrame, nodes: DataFrame, chunks: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, tags) of each item, in the order of TAGS. items: id, as_of, gold_evidence, key_point_literals; texts: article_id, text, of articles in force.
 
-    Evidence is joined with its nodes, its edges, its chunks and the texts of its fellows, so nothing but an item's own few articles meets in a row."""
+    Evidence is joined with its nodes, its edges, its chunks and the texts of its fellows, so nothing but an item's own few articles meets in a row. Items, nodes, chunks and texts may all be many: none goes out whole through the driver, however small the planner takes its few columns to be."""
     status = graph.status_at(F.col("as_of"))["status"]
     evidence = items.select("id", "as_of", "gold_evidence", "key_point_literals", F.explode(F.array_distinct("gold_evidence")).alias("article_id"))
-    seen = evidence.select("id", "as_of", "article_id").join(nodes.select("article_id", "in_current", "pending", "sunsets"), "article_id", "left")
+    seen = evidence.select("id", "as_of", "article_id").join(nodes.select("article_id", "in_current", "pending", "sunsets").hint("merge"), "article_id", "left")
     own = seen.select("id", F.coalesce(F.col("in_current").isNotNull() & (status != "in_force"), F.lit(False)).alias("temporal"), F.col("article_id").startswith(CASE).alias("precedent"))
     fellows = evidence.select("id", "article_id", F.explode("gold_evidence").alias("other"))
     # edges as rows: a node that very many refer to has them all in one map, which mustn't go out with each of its items
     cues = nodes.select("article_id", F.explode("referenced_by_cues").alias("other", "cue")).where(F.col("cue") == "exception").select("article_id", "other", F.lit(True).alias("exception"))
     below = nodes.select("article_id", F.explode("implementing_provisions").alias("other"), F.lit(True).alias("delegation"))
     edges = cues.unionByName(below, allowMissingColumns=True)
-    linked = fellows.join(edges, ["article_id", "other"]).select("id", "exception", "delegation")
-    pairs = fellows.join(texts.select(F.col("article_id").alias("other"), X.squeezed("text").alias("_text")), "other")
+    linked = fellows.join(edges.hint("merge"), ["article_id", "other"]).select("id", "exception", "delegation")
+    pairs = fellows.join(texts.select(F.col("article_id").alias("other"), X.squeezed("text").alias("_text")).hint("merge"), "other")
     over = pairs.select("id", overrides(F.col("article_id"), F.col("other"), F.col("_text")).alias("exception"))
     literals = F.transform(F.flatten(F.coalesce("key_point_literals", F.array().cast("array<array<string>>"))), X.squeezed)
     hit = F.exists(literals, lambda x: F.contains(F.col("text"), x))
-    parts = evidence.join(chunk_texts(chunks), "article_id").groupBy("id", "article_id").agg(F.countDistinct("chunk_id").alias("n"), F.countDistinct(F.when(hit, F.col("chunk_id"))).alias("hits"))
+    parts = evidence.join(chunk_texts(chunks).hint("merge"), "article_id").groupBy("id", "article_id").agg(F.countDistinct("chunk_id").alias("n"), F.countDistinct(F.when(hit, F.col("chunk_id"))).alias("hits"))
     split = parts.select("id", ((F.col("n") >= 2) & (F.col("hits") >= 2)).alias("split"))
     every = own
     for found in (linked, over, split):
         every = every.unionByName(found, allowMissingColumns=True)
     held = every.groupBy("id").agg(*[F.bool_or(F.coalesce(t, F.lit(False))).alias(t) for t in TAGS])
     tags = F.filter(F.array(*[F.when(F.col(t), t) for t in TAGS]), lambda x: x.isNotNull())
-    return items.select("id").join(held.select("id", tags.alias("tags")), "id", "left").select("id", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    return items.select("id").join(held.select("id", tags.alias("tags")).hint("merge"), "id", "left").select("id", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))

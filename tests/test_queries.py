@@ -53,3 +53,10 @@ def test_plans(spark):
     p = plan(q["metrics_grouping_sets"](spark, DIR))
     assert p.count("Expand") == 1
     assert "ReadSchema: struct<lang:string>" in plan(spark.read.parquet(f"{DIR}/documents.parquet").select("lang"))
+
+
+def test_tables_that_grow_are_not_broadcast(spark):
+    """Of the graph and its items, only the fifty cases go out through the driver."""
+    q = entry_point.queries()
+    sent = lambda name: plan(q[name](spark, DIR)).count("BroadcastExchange")
+    assert {name: sent(name) for name in ("item_tags", "temporal_facts", "graph_nodes", "graph_node_stats")} == {"item_tags": 0, "temporal_facts": 0, "graph_nodes": 1, "graph_node_stats": 1}
